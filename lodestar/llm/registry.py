@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, html_extract, secret_scan, url_filter
+from lodestar.llm import decontaminate, embed_dedup, html_extract, jaccard_join, secret_scan, url_filter
 
 QUERIES = {
     "op1_html_extraction": (html_extract.op1_html_extraction, None),
     "op10_decontamination": (decontaminate.op10_decontamination, decontaminate.OP10_SQL),
     "op2_secret_scan": (secret_scan.op2_secret_scan, None),
+    "op3_jaccard_join": (jaccard_join.op3_jaccard_join, None),
+    "op5_embedding_dedup": (embed_dedup.op5_embedding_dedup, None),
     "op6_url_filter": (url_filter.op6_url_filter, url_filter.OP6_SQL),
 }
