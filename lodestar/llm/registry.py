@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, embed_dedup, html_extract, jaccard_join, secret_scan, url_filter
+from lodestar.llm import decontaminate, embed_dedup, html_extract, jaccard_join, language_id, quality_mil, secret_scan, url_filter
 
 QUERIES = {
     "op1_html_extraction": (html_extract.op1_html_extraction, None),
@@ -11,4 +11,6 @@ QUERIES = {
     "op3_jaccard_join": (jaccard_join.op3_jaccard_join, None),
     "op5_embedding_dedup": (embed_dedup.op5_embedding_dedup, None),
     "op6_url_filter": (url_filter.op6_url_filter, url_filter.OP6_SQL),
+    "op7_quality_classifier": (quality_mil.op7_quality_classifier, None),
+    "op9_language_id": (language_id.op9_language_id, None),
 }
