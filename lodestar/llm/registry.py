@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, embed_dedup, html_extract, jaccard_join, language_id, quality_mil, secret_scan, url_filter
+from lodestar.llm import decontaminate, embed_dedup, html_extract, jaccard_join, language_id, mixing, quality_mil, secret_scan, substring_dedup, url_filter
 
 QUERIES = {
     "op1_html_extraction": (html_extract.op1_html_extraction, None),
@@ -13,4 +13,6 @@ QUERIES = {
     "op6_url_filter": (url_filter.op6_url_filter, url_filter.OP6_SQL),
     "op7_quality_classifier": (quality_mil.op7_quality_classifier, None),
     "op9_language_id": (language_id.op9_language_id, None),
+    "op4_mixing": (mixing.op4_mixing, None),
+    "op8_substring_dedup": (substring_dedup.op8_substring_dedup, None),
 }
