@@ -1,5 +1,568 @@
-"""Registered queries of the retrieval library: name -> (query, DuckDB SQL or None)."""
+"""Registered queries of the retrieval library: name -> (query, DuckDB SQL or None).
+
+All run over whole tables. `documents` are the corpus (each a chunk unless it says otherwise),
+`benchmark` the batch of questions, `embeddings` a vector store whose ids divisible by 100 ask.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.functions import text as X
+from lodestar.operators import answer, chunking, embedding, evaluate, fusion, index, search
+from lodestar.sources.files import parse_pages
+from lodestar.streaming.ingest import latency_by_window
+
+K, POOL = 10, 50
+CORPUS = "corpus"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "text")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _source() -> Column:
+    return F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
+def _hits(spark: SparkSession, d: str, k: int = POOL) -> DataFrame:
+    return search.bm25_search(search.tokenized(_docs(spark, d)), _asked(spark, d), k)
+
+
+def _overlap(spark: SparkSession, d: str, k: int = POOL) -> DataFrame:
+    """A second list: documents by the number of distinct query terms they hold."""
+    terms = search.query_terms(_asked(spark, d))
+    wanted = search.bounded(terms.select("term").distinct(), search.BROADCAST_TERMS)
+    held = _docs(spark, d).select("chunk_id", F.explode(F.array_distinct(X.bm25_tokens(F.col("text")))).alias("term")).join(wanted, "term", "left_semi")
+    return search.top_k(held.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score")), k)
+
+
+def _qrels(spark: SparkSession, d: str) -> DataFrame:
+    """A document is relevant to an item whose first eight tokens it holds in a row; more so (grade 2) if its quality label is 1."""
+    head = _asked(spark, d).select("query_id", F.slice(X.bm25_tokens(F.col("text")), 1, 8).alias("h")).where(F.size("h") == 8).select("query_id", F.array_join("h", " ").alias("gram"))
+    tokens = _docs(spark, d).select("chunk_id", X.bm25_tokens(F.col("text")).alias("t")).where(F.size("t") >= 8)
+    grams = tokens.select("chunk_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " "))).alias("gram"))
+    pairs = grams.join(search.bounded(head, search.BROADCAST_VECTORS), "gram").select("query_id", F.col("chunk_id").alias("doc_id")).distinct()
+    good = _table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(1).alias("good")).distinct()
+    return pairs.join(good, "doc_id", "left").select("query_id", "doc_id", (1 + F.coalesce("good", F.lit(0))).alias("grade"))
+
+
+# SQL shared by several oracles.
+TOK = r"regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+')"
+
+
+def tok(column: str) -> str:
+    return TOK.format(column)
+
+
+def bm25_sql(docs: str = "SELECT doc_id AS chunk_id, lang, text FROM documents", keep: str = "true", k: int = POOL) -> str:
+    """CTEs up to `hits` (query_id, chunk_id, score, rank)."""
+    return f"""
+docs AS ({docs}),
+tk AS (SELECT chunk_id, {tok('text')} AS t FROM docs),
+st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)::DOUBLE) AS avgdl FROM tk),
+q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({tok('text')}) AS term FROM benchmark)),
+p AS (SELECT chunk_id, term, dl, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tk) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, st GROUP BY term),
+sc AS (SELECT query_id, chunk_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM p JOIN w USING (term) JOIN q USING (term), st GROUP BY 1, 2),
+hits AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc JOIN docs USING (chunk_id) WHERE {keep}) WHERE rank <= {k})"""
+
+
+OVERLAP_SQL = f"""
+ov AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
+  (SELECT query_id, chunk_id, count(*)::DOUBLE AS score FROM p JOIN q USING (term) GROUP BY 1, 2)) WHERE rank <= {POOL})"""
+
+QRELS_SQL = """
+head AS (SELECT item_id AS query_id, array_to_string(t[1:8], ' ') AS gram FROM (SELECT item_id, """ + tok("text") + """ AS t FROM benchmark) WHERE len(t) >= 8),
+gr AS (SELECT chunk_id, array_to_string(t[i:i + 7], ' ') AS gram FROM (SELECT chunk_id, t, unnest(generate_series(1, len(t) - 7)) AS i FROM tk WHERE len(t) >= 8)),
+qr AS (SELECT DISTINCT query_id, chunk_id AS doc_id, CASE WHEN chunk_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 2 ELSE 1 END AS grade FROM gr JOIN head USING (gram))"""
+
+CHUNK_SQL = """SELECT doc_id, idx, i, n, size, ltrim(raw, E' \\n\\t\\r') AS text, before + length(raw) - length(ltrim(raw, E' \\n\\t\\r')) AS start_char FROM (
+  SELECT doc_id, i // step AS idx, i, n, size, array_to_string(p[i + 1:i + size], '') AS raw, length(array_to_string(p[1:i], '')) AS before FROM (
+    SELECT doc_id, p, len(p) AS n, {size} AS size, {step} AS step, unnest(generate_series(0, greatest(len(p) - {overlap} - 1, 0), {step})) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '\\s*\\S+') AS p FROM documents) WHERE len(p) > 0))"""
+
+
+def chunk_sql(size: int, overlap: int) -> str:
+    return CHUNK_SQL.format(size=size, overlap=overlap, step=size - overlap)
+
+
+# --- identities and text ---------------------------------------------------------------------
+
+
+def doc_ids_hashes(spark, d):
+    docs = _table(spark, d, "documents")
+    return docs.select("doc_id", X.document_id(CORPUS, _source()).alias("document_id"), X.content_hash(F.col("text")).alias("content_hash"), X.valid_source(_source()).alias("valid_source"))
+
+
+DOC_IDS_SQL = f"""SELECT doc_id, substr(sha256('{CORPUS}:src/' || doc_id || '.txt'), 1, 16) AS document_id, sha256(text) AS content_hash, true AS valid_source FROM documents"""
+
+
+def duplicate_documents(spark, d):
+    """Documents whose content an earlier path holds already."""
+    docs = _table(spark, d, "documents").select(_source().alias("source"), X.content_hash(F.col("text")).alias("h"), F.split(_source(), "/").alias("path"))
+    first = docs.groupBy("h").agg(F.min("path").alias("least"))
+    return docs.join(first, "h").where("path <> least").select("source", F.array_join("least", "/").alias("duplicate_of"))
+
+
+DUPLICATES_SQL = """SELECT source, first AS duplicate_of FROM (SELECT source, first_value(source) OVER (PARTITION BY h ORDER BY string_split(source, '/')) AS first FROM
+  (SELECT 'src/' || doc_id || '.txt' AS source, sha256(text) AS h FROM documents)) WHERE source <> first"""
+
+
+def corpus_slugs(spark, d):
+    return _table(spark, d, "documents").select("source", "lang").distinct().select(F.concat_ws(" ", F.upper("source"), "lang").alias("name")).select("name", X.corpus_slug(F.col("name")).alias("slug"), X.valid_corpus_id(X.corpus_slug(F.col("name"))).alias("valid"))
+
+
+SLUGS_SQL = """SELECT name, lower(replace(name, ' ', '-')) AS slug, true AS valid FROM (SELECT DISTINCT upper(source) || ' ' || lang AS name FROM documents)"""
+
+
+def normalized_text(spark, d):
+    docs = _table(spark, d, "documents")
+    text = X.normalize(F.col("text"))
+    return docs.select("doc_id", X.content_hash(text).alias("normalized_hash"), F.length(text).cast("long").alias("length"))
+
+
+_N = "regexp_replace(regexp_replace(text, '(\\S)[ \\t]{2,}(\\S)', '\\1 \\2', 'g'), '(\\S)[ \\t]{2,}(\\S)', '\\1 \\2', 'g')"
+NORMALIZED_SQL = f"""SELECT doc_id, sha256(t) AS normalized_hash, length(t) AS length FROM (
+  SELECT doc_id, trim(regexp_replace(regexp_replace({_N}, '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', E'\\n\\n', 'g'), E' \\n\\t') AS t FROM documents)"""
+
+
+def token_counts(spark, d):
+    return chunking.tokens_per_document(_table(spark, d, "documents"))
+
+
+TOKENS_SQL = r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_tokens FROM documents"
+
+# --- chunks ----------------------------------------------------------------------------------
+
+
+def _fixed(spark, d, size=512, overlap=64):
+    return chunking.fixed_chunks(_table(spark, d, "documents").select("doc_id", "text"), size, overlap)
+
+
+def fixed_chunks(spark, d):
+    return _fixed(spark, d).select("doc_id", "index", X.content_hash(F.col("text")).alias("text_hash"), "start_char", "end_char", "token_count")
+
+
+FIXED_SQL = f"SELECT doc_id, idx AS index, sha256(text) AS text_hash, start_char, start_char + length(text) AS end_char, least(n - i, size)::BIGINT AS token_count FROM ({chunk_sql(512, 64)})"
+
+
+def chunk_statistics(spark, d):
+    return chunking.chunk_stats(_fixed(spark, d))
+
+
+CHUNK_STATS_SQL = f"""SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(c)::BIGINT AS tokens, min(c) AS least, round(avg(c), 2) AS mean, round(quantile_cont(c, 0.5), 2) AS p50,
+  round(quantile_cont(c, 0.95), 2) AS p95, max(c) AS most FROM (SELECT doc_id, least(n - i, size)::BIGINT AS c FROM ({chunk_sql(512, 64)}))"""
+
+
+def verify_chunks(spark, d):
+    """Faults of chunks that were tampered with, by the chunk's index: text, offsets, document."""
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    chunks = _fixed(spark, d, 128, 16).join(docs.select("doc_id", X.content_hash(F.col("text")).alias("content_hash")), "doc_id")
+    chunks = chunks.withColumn("chunk_id", X.chunk_id(F.col("doc_id").cast("string"), F.col("content_hash"), F.col("start_char"), F.col("end_char")))
+    kind = F.col("index") % 5
+    bad = chunks.withColumn("text", F.when(kind == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    bad = bad.withColumn("end_char", F.when(kind == 2, F.lit(10_000_000)).otherwise(F.col("end_char"))).withColumn("doc_id", F.when(kind == 3, -1 - F.col("doc_id")).otherwise(F.col("doc_id")))
+    bad = bad.withColumn("content_hash", F.when(kind == 4, F.lit("0")).otherwise(F.col("content_hash")))
+    return chunking.verify(bad, docs).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+VERIFY_SQL = f"""SELECT CASE idx % 5 WHEN 1 THEN 'text differs' WHEN 2 THEN 'out of bounds' WHEN 3 THEN 'unknown document' ELSE 'other content' END AS reason, count(*) AS n
+  FROM ({chunk_sql(128, 16)}) WHERE idx % 5 > 0 GROUP BY 1"""
+
+
+def section_crossing(spark, d):
+    """Chunks of 64 tokens against paragraphs, a paragraph being a line of the document."""
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    lines = F.split("text", "\n")
+    begins = F.aggregate(lines, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + F.length(s) + 1)))
+    starts = docs.select("doc_id", F.explode(F.slice(begins, 1, F.size(lines))).alias("start"))
+    return chunking.section_crossing(_fixed(spark, d, 64, 8), starts)
+
+
+CROSSING_SQL = f"""SELECT count(*) AS chunks, count(*) FILTER (WHERE contains(text, E'\\n')) AS crossing, round(count(*) FILTER (WHERE contains(text, E'\\n')) / count(*), 6) AS rate FROM ({chunk_sql(64, 8)})"""
+
+
+def _documents(spark, d):
+    """Documents as the chunker takes them: one section, no title."""
+    whole = F.array(F.struct(F.lit(0).alias("start_char"), F.length("text").alias("end_char"), F.array().cast("array<string>").alias("heading_path"), F.lit(None).cast("int").alias("page")))
+    return _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("title"), "text", whole.alias("sections"))
+
+
+def recursive_chunks(spark, d):
+    return chunking.chunk_documents(_documents(spark, d), chunking.Config("recursive", 128, 16, 16)).select("doc_id", "chunk_id", "index", "start_char", "end_char", "token_count")
+
+
+def structure_chunks(spark, d):
+    """Pages, converted, cut along their headings."""
+    pages = parse_pages(_table(spark, d, "pages")).select(F.col("page_id").cast("string").alias("doc_id"), "title", "text", "sections")
+    return chunking.chunk_documents(pages).select("doc_id", "chunk_id", "index", "start_char", "end_char", "token_count", "heading_path", "context_header")
+
+
+def html_pages(spark, d):
+    pages = parse_pages(_table(spark, d, "pages"))
+    return pages.select("page_id", "title", "language", "heading_count", F.size("sections").cast("long").alias("n_sections"), F.length("text").cast("long").alias("n_chars"), X.content_hash(F.col("text")).alias("content_hash"))
+
+
+# --- lexical search --------------------------------------------------------------------------
+
+
+def postings(spark, d):
+    """Postings by frequency: how many (term, document) pairs hold the term so often."""
+    return search.postings(search.tokenized(_docs(spark, d))).groupBy("tf").agg(F.count("*").alias("n"), F.countDistinct("term").alias("terms"))
+
+
+POSTINGS_SQL = f"SELECT tf, count(*) AS n, count(DISTINCT term) AS terms FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1"
+
+
+def term_stats(spark, d):
+    tokens = search.tokenized(_docs(spark, d))
+    return search.term_stats(search.postings(tokens), search.corpus_stats(tokens)).select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+TERM_STATS_SQL = f"""WITH t AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents)), c AS (SELECT count(*)::DOUBLE AS n FROM documents)
+SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 9) AS idf FROM t, c GROUP BY term"""
+
+
+def corpus_stats(spark, d):
+    return search.corpus_stats(search.tokenized(_docs(spark, d))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+CORPUS_SQL = f"SELECT count(*) AS n, round(avg(len({tok('text')})::DOUBLE), 6) AS avgdl FROM documents"
+
+
+def bm25_topk(spark, d):
+    return _hits(spark, d, K)
+
+
+def bm25_topk_filtered(spark, d):
+    return search.bm25_search(search.tokenized(_docs(spark, d)), _asked(spark, d), K, search.matches(F.col("lang"), ["de", "fr"]))
+
+
+def _stored(spark, d):
+    docs = _table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "lang", "text", F.col("doc_id").alias("ord"))
+
+
+def bm25_after_upsert(spark, d):
+    """Every tenth document is replaced by its first line."""
+    old = _stored(spark, d)
+    new = old.where("doc_id % 10 = 0").withColumn("text", F.substring_index("text", "\n", 1))
+    kept = index.upsert(old, new, True).select("chunk_id", "lang", "text")
+    return search.bm25_search(search.tokenized(kept), _asked(spark, d), K)
+
+
+def bm25_after_delete(spark, d):
+    old = _stored(spark, d)
+    kept = index.delete(old, old.where("lang = 'es'")).select("chunk_id", "lang", "text")
+    return search.bm25_search(search.tokenized(kept), _asked(spark, d), K)
+
+
+# --- dense search ----------------------------------------------------------------------------
+
+
+def _vectors(spark, d):
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label", "embedding")
+
+
+def _vector_queries(spark, d):
+    return _vectors(spark, d).where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+
+
+def dense_topk(spark, d):
+    return search.dense_search(_vectors(spark, d), _vector_queries(spark, d), K)
+
+
+def dense_topk_label_filter(spark, d):
+    return search.dense_search(_vectors(spark, d).where(search.matches(F.col("label"), [1, 2, 3])), _vector_queries(spark, d), K)
+
+
+def dense_sql(keep: str) -> str:
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(e, e)) AS s FROM v)
+SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, n.vec_id AS chunk_id, round(list_dot_product(q.e, n.e) / (q.s * n.s), 6) AS score FROM n AS q, n WHERE q.vec_id % 100 = 0 AND q.s > 0 AND {keep})) WHERE rank <= {K}"""
+
+
+def l2_norms(spark, d):
+    unit = search.l2_normalize(F.col("embedding"))
+    return _vectors(spark, d).select("chunk_id", F.round(search.norm(F.col("embedding")), 5).alias("norm"), F.round(search.norm(unit), 9).alias("unit_norm"), search.valid_vector(F.col("embedding"), 64).alias("valid"))
+
+
+L2_SQL = """SELECT vec_id AS chunk_id, round(sqrt(list_dot_product(e, e)), 5) AS norm, 1.0::DOUBLE AS unit_norm, len(e) = 64 AS valid FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"""
+
+
+def hashing_embeddings(spark, d):
+    embed = embedding.hashing_embedder()
+    return _docs(spark, d).select("chunk_id", embed(F.col("text")).alias("e")).select("chunk_id", F.size("e").cast("long").alias("dimension"), F.round(search.norm(F.col("e")), 4).alias("norm"))
+
+
+def hybrid_search(spark, d):
+    """Lexical and hashed dense lists over all documents, fused by rank."""
+    embed = embedding.hashing_embedder()
+    asked = _asked(spark, d)
+    dense = search.dense_search(_docs(spark, d).select("chunk_id", embed(F.col("text")).alias("embedding")), asked.select("query_id", embed(F.col("text")).alias("embedding")), POOL)
+    hits = fusion.reciprocal_rank_fusion({"dense": dense, "lexical": _hits(spark, d)}, K)
+    return hits.select("query_id", "chunk_id", "score", "rank", "retriever")
+
+
+# --- fusion and reranking --------------------------------------------------------------------
+
+
+def _lists(spark, d):
+    return {"bm25": _hits(spark, d), "overlap": _overlap(spark, d)}
+
+
+def _flat(hits):
+    return hits.select("query_id", "chunk_id", "score", "rank", F.col("ranks")["bm25"].alias("bm25_rank"), F.col("ranks")["overlap"].alias("overlap_rank"))
+
+
+def rrf_fusion(spark, d):
+    return _flat(fusion.reciprocal_rank_fusion(_lists(spark, d), K))
+
+
+def rrf_weighted_lists(spark, d):
+    return _flat(fusion.reciprocal_rank_fusion(_lists(spark, d), K, 20, {"overlap": 0.5}))
+
+
+def minmax_fusion(spark, d):
+    return _flat(fusion.weighted_score_fusion(_lists(spark, d), K, {"bm25": 2.0, "overlap": 0.5}))
+
+
+def fused_sql(part: str) -> str:
+    return f"""WITH {bm25_sql()}, {OVERLAP_SQL},
+l AS (SELECT 'bm25' AS list, 0 AS place, * FROM hits UNION ALL SELECT 'overlap', 1, * FROM ov),
+m AS (SELECT *, min(score) OVER (PARTITION BY query_id, list) AS lo, max(score) OVER (PARTITION BY query_id, list) AS hi FROM l),
+f AS (SELECT query_id, chunk_id, round(sum({part}), 9) AS score, min(rank) AS best, min(place * 1099511627776 + rank) AS seen, max(CASE WHEN place = 0 THEN rank END) AS bm25_rank, max(CASE WHEN place = 1 THEN rank END) AS overlap_rank FROM m GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best, seen) AS rank, bm25_rank, overlap_rank FROM f) WHERE rank <= {K}"""
+
+
+def rerank_overlap(spark, d):
+    docs, asked = _docs(spark, d).select("chunk_id", "text"), _asked(spark, d)
+    hits = fusion.rerank(_hits(spark, d), fusion.overlap_scorer(docs, asked), K, POOL, "lexical")
+    return hits.select("query_id", "chunk_id", "score", "rank", F.col("components")["lexical"].alias("lexical_score"), F.col("ranks")["lexical"].alias("lexical_rank"))
+
+
+RERANK_SQL = f"""WITH {bm25_sql()}, nt AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
+r AS (SELECT h.query_id, h.chunk_id, h.score AS lexical_score, h.rank AS lexical_rank, round(count(p.term) / any_value(nt.n), 6) AS score FROM hits h JOIN nt USING (query_id) JOIN q USING (query_id) LEFT JOIN p ON p.chunk_id = h.chunk_id AND p.term = q.term GROUP BY ALL)
+SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lexical_rank) AS rank, lexical_score, lexical_rank FROM r) WHERE rank <= {K}"""
+
+# --- evaluation ------------------------------------------------------------------------------
+
+
+def _ranked(hits):
+    return hits.select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+
+
+def retrieval_metrics(spark, d):
+    scores = evaluate.score_queries(_ranked(_hits(spark, d)), _qrels(spark, d))
+    return scores.select("query_id", *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in scores.columns if c != "query_id"])
+
+
+def metrics_sql(hits: str) -> str:
+    recall = ", ".join(f"round(count(*) FILTER (WHERE rank <= {k}) / count(*), 6) AS \"recall@{k}\", CASE WHEN count(*) FILTER (WHERE rank <= {k}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"hit@{k}\"" for k in evaluate.KS)
+    return f"""SELECT query_id, {recall}, round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE rank <= 10), 0), 6) AS "mrr@10",
+  round(coalesce(sum((2 ** grade - 1) / log2(rank + 1)) FILTER (WHERE rank <= 10), 0) / sum((2 ** grade - 1) / log2(ideal + 1)) FILTER (WHERE ideal <= 10), 6) AS "ndcg@10"
+FROM (SELECT qr.query_id, grade, rank, row_number() OVER (PARTITION BY qr.query_id ORDER BY grade DESC, qr.doc_id) AS ideal FROM qr LEFT JOIN {hits} h ON h.query_id = qr.query_id AND h.chunk_id = qr.doc_id) GROUP BY 1"""
+
+
+def _both_modes(spark, d):
+    qrels = _qrels(spark, d)
+    lists = _lists(spark, d)
+    both = [evaluate.long_form(evaluate.score_queries(_ranked(hits), qrels), mode) for mode, hits in lists.items()]
+    return both[0].unionByName(both[1])
+
+
+def metrics_macro(spark, d):
+    return evaluate.macro(_both_modes(spark, d), 5)
+
+
+_METRICS = ", ".join(f'"{m}@{k}"' for k in evaluate.KS for m in ("recall", "hit")) + ', "mrr@10", "ndcg@10"'
+MACRO_SQL = f"""WITH {bm25_sql()}, {OVERLAP_SQL}, {QRELS_SQL}, a AS ({metrics_sql('hits')}), b AS ({metrics_sql('ov')}),
+u AS (SELECT 'bm25' AS mode, * FROM a UNION ALL SELECT 'overlap', * FROM b)
+SELECT mode, metric, round(avg(value), 5) AS mean, count(*) AS n FROM (UNPIVOT u ON {_METRICS} INTO NAME metric VALUE value) GROUP BY 1, 2"""
+
+
+def bootstrap_ci(spark, d):
+    return evaluate.bootstrap(evaluate.compare_modes(_both_modes(spark, d), "bm25", "overlap"), ["metric"], 2000)
+
+
+def query_partition_counts(spark, d):
+    return evaluate.query_kinds(_asked(spark, d), _qrels(spark, d)).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+KINDS_SQL = f"WITH tk AS (SELECT doc_id AS chunk_id, {tok('text')} AS t FROM documents), {QRELS_SQL} SELECT CASE WHEN item_id IN (SELECT query_id FROM qr) THEN 'scored' ELSE 'unlabelled' END AS kind, count(*) AS n FROM benchmark GROUP BY 1"
+
+
+def overfetch_depth(spark, d):
+    """Depth at which chunks of 128 tokens give ten documents, from 10 on, doubled up to 160."""
+    chunks = _fixed(spark, d, 128, 16).select((F.col("doc_id") * 100_000 + F.col("index")).alias("chunk_id"), "text")
+    hits = search.bm25_search(search.tokenized(chunks), _asked(spark, d), 160)
+    return evaluate.enough_depth(hits.withColumn("doc_id", F.expr("chunk_id div 100000")), K, 10, 160)
+
+
+OVERFETCH_SQL = f"""WITH {bm25_sql(f"SELECT doc_id * 100000 + idx AS chunk_id, text FROM ({chunk_sql(128, 16)})", k=160)},
+s AS (SELECT query_id, unnest([10, 20, 40, 80, 160]) AS depth FROM (SELECT DISTINCT query_id FROM hits)),
+c AS (SELECT s.query_id, depth, count(*) AS n, count(DISTINCT chunk_id // 100000) AS docs FROM s JOIN hits h ON h.query_id = s.query_id AND h.rank <= s.depth GROUP BY 1, 2),
+g AS (SELECT query_id, min(depth) AS depth FROM c WHERE docs >= 10 OR n < depth OR depth = 160 GROUP BY 1)
+SELECT query_id, depth::BIGINT AS depth, least(docs, 10)::BIGINT AS n_docs, docs < 10 AS short FROM g JOIN c USING (query_id, depth)"""
+
+
+def latency_percentiles(spark, d):
+    """The event log as a request log: nearest-rank percentiles by type."""
+    return _table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), evaluate.nearest_rank("value", 0.5).alias("p50"), evaluate.nearest_rank("value", 0.95).alias("p95"))
+
+
+LATENCY_SQL = "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1"
+
+
+def latency_windows(spark, d):
+    return latency_by_window(_table(spark, d, "events")).select("start", "event_type", "n", "mean")
+
+
+WINDOWS_SQL = "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2"
+
+
+def wilson_by_group(spark, d):
+    """Share of good documents by language, with its interval."""
+    rows = _table(spark, d, "labels").join(_table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    counts = rows.groupBy("lang").agg(F.count("quality").alias("n"), F.sum("quality").alias("good"))
+    low, high = evaluate.wilson(F.col("good"), F.col("n"))
+    return counts.select("lang", "n", "good", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+_Z = "1.959963984540054::DOUBLE"
+WILSON_SQL = f"""SELECT lang, n, good, round(greatest(0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) * (1)) / (1 + z * z / n)), 9) AS low,
+  round(least(1, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 9) AS high
+FROM (SELECT lang, count(quality) AS n, sum(quality)::BIGINT AS good, sum(quality) / count(quality) AS p, {_Z} AS z FROM labels JOIN documents USING (doc_id) GROUP BY 1)"""
+
+# --- answers ---------------------------------------------------------------------------------
+
+
+def _read_hits(spark, d, k=5):
+    return _hits(spark, d, k).join(_docs(spark, d).select("chunk_id", "text"), "chunk_id")
+
+
+def extractive_answers(spark, d):
+    return answer.extractive_answers(_asked(spark, d), _read_hits(spark, d))
+
+
+def extractive_citations(spark, d):
+    return answer.cited_sentences(_asked(spark, d), _read_hits(spark, d)).select("query_id", "place", "chunk_id", "offset", "sentence", F.round("score", 6).alias("score"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+
+
+def words_sql(column: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(replace(lower({column}), 'ß', 'ss'), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP})))"
+
+
+CITED_SQL = f"""{bm25_sql(k=5)},
+qa AS (SELECT item_id AS query_id, {words_sql('text')} AS qw FROM benchmark),
+se AS (SELECT query_id, chunk_id, rank, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS s FROM hits JOIN docs USING (chunk_id)),
+ex AS (SELECT query_id, chunk_id, rank, unnest(generate_series(0, len(s) - 1)) AS "offset", unnest(s) AS sentence FROM se),
+co AS (SELECT ex.*, len(list_intersect(qw, {words_sql('sentence')})) AS shared, len(qw) AS n FROM ex JOIN qa USING (query_id) WHERE len(qw) > 0),
+fi AS (SELECT *, row_number() OVER (PARTITION BY query_id, trim(regexp_replace(replace(lower(sentence), 'ß', 'ss'), '\\s+', ' ', 'g')) ORDER BY shared / n DESC, rank, "offset") AS f FROM co WHERE shared > 0),
+ci AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY shared / n DESC, rank, "offset") AS place, chunk_id, "offset", sentence, round(shared / n, 6) AS score FROM fi WHERE f = 1) WHERE place <= 5)"""
+CITATIONS_SQL = f"WITH {CITED_SQL} SELECT * FROM ci"
+ANSWERS_SQL = f"""WITH {CITED_SQL} SELECT item_id AS query_id, coalesce(string_agg(sentence, ' ' ORDER BY place), '') AS answer, count(place) AS n_citations, count(place) = 0 AS abstained
+  FROM benchmark LEFT JOIN ci ON ci.query_id = item_id GROUP BY 1"""
+
+
+def gold_removal_contexts(spark, d):
+    """The first five documents that are not relevant."""
+    hits = _hits(spark, d).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
+    return evaluate.drop_gold(hits, evaluate.relevant(_qrels(spark, d)), 5)
+
+
+GOLD_SQL = f"""WITH {bm25_sql()}, {QRELS_SQL} SELECT query_id, doc_id, score, rank, rank - 1 AS context FROM (
+  SELECT query_id, chunk_id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM hits h WHERE NOT EXISTS (SELECT 1 FROM qr WHERE qr.query_id = h.query_id AND qr.doc_id = h.chunk_id)) WHERE rank <= 5"""
+
+
+def _grading(spark, d):
+    """Replies made from the contexts: a true quote of the first, one too short of the second, one that is not there, an index out of range; fenced, bare or broken by the query's id."""
+    hits = _read_hits(spark, d).select("query_id", F.col("chunk_id").alias("doc_id"), (F.col("rank") - 1).alias("context"), "text")
+    first = hits.where("context = 0").select("query_id", F.substring("text", 1, 40).alias("quote"), F.substring("text", 1, 10).alias("short"))
+    cite = lambda i, q: F.struct(F.lit(i).alias("chunk_index"), q.alias("quote"))
+    body = F.to_json(F.struct(F.lit("yes").alias("answer"), (F.col("query_id") % 5 == 4).alias("abstained"), F.array(cite(0, F.col("quote")), cite(1, F.col("short")), cite(2, F.lit("\u0001 no document holds this text")), cite(99, F.col("quote"))).alias("citations")))
+    content = F.when(F.col("query_id") % 7 == 3, "no reply").when(F.col("query_id") % 2 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).otherwise(body)
+    kind = F.when(F.col("query_id") % 3 == 0, "no_relevant").otherwise("answerable")
+    replies = first.select("query_id", kind.alias("kind"), content.alias("content"))
+    gold = hits.where("context = 0 and query_id % 4 <> 1").select("query_id", "doc_id")
+    return answer.grade(replies, hits, gold)
+
+
+def citation_grading(spark, d):
+    return _grading(spark, d)
+
+
+GRADES_SQL = f"""{bm25_sql(k=1)},
+gd AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'no_relevant' ELSE 'answerable' END AS kind, query_id % 7 <> 3 AS ok, query_id % 5 = 4 AND query_id % 7 <> 3 AS abst,
+  query_id % 7 <> 3 AND length(trim(substr(text, 1, 40), E' \\n\\t')) >= 20 AS v, query_id % 4 <> 1 AS g FROM hits JOIN docs USING (chunk_id)),
+gr2 AS (SELECT query_id, kind, ok AS parse_ok, abst AS abstained, CASE WHEN ok THEN 4 ELSE 0 END::BIGINT AS n_raw, v::BIGINT AS n_valid, (v AND g)::BIGINT AS n_valid_gold, g::BIGINT AS gold_in_context,
+  CASE WHEN g THEN v::DOUBLE END AS citation_recall, CASE WHEN v THEN g::DOUBLE END AS citation_precision, CASE WHEN kind = 'no_relevant' THEN ok AND abst WHEN g THEN ok AND NOT abst END AS abstention_correct FROM gd)"""
+
+
+def grade_aggregates(spark, d):
+    return answer.aggregate_grades(_grading(spark, d))
+
+
+AGGREGATES_SQL = f"""WITH {GRADES_SQL} SELECT count(*) AS n_items, count(*) FILTER (WHERE kind = 'answerable') AS n_answerable, count(*) FILTER (WHERE kind = 'no_relevant') AS n_no_relevant, count(*) FILTER (WHERE parse_ok) AS n_parse_ok,
+  count(*) FILTER (WHERE parse_ok) / count(*) AS parse_ok_rate, sum(n_raw)::BIGINT AS n_raw_citations, sum(n_valid)::BIGINT AS n_valid_citations, sum(n_valid) / sum(n_raw) AS citation_span_validity, count(citation_recall) AS n_recall_eligible,
+  round(avg(citation_recall), 9) AS citation_recall, sum(n_valid_gold) / sum(n_valid) AS citation_precision, count(*) FILTER (WHERE kind = 'answerable' AND gold_in_context = 0) AS n_answerable_gold_missing,
+  count(*) FILTER (WHERE kind = 'answerable' AND gold_in_context > 0 AND abstained) / nullif(count(*) FILTER (WHERE kind = 'answerable' AND gold_in_context > 0), 0) AS false_abstention_rate,
+  count(*) FILTER (WHERE kind = 'no_relevant' AND abstained) / nullif(count(*) FILTER (WHERE kind = 'no_relevant'), 0) AS correct_abstention_rate FROM gr2"""
+
+
+QUERIES = {
+    "doc_ids_hashes": (doc_ids_hashes, DOC_IDS_SQL),
+    "duplicate_documents": (duplicate_documents, DUPLICATES_SQL),
+    "corpus_slugs": (corpus_slugs, SLUGS_SQL),
+    "normalized_text": (normalized_text, NORMALIZED_SQL),
+    "token_counts": (token_counts, TOKENS_SQL),
+    "fixed_chunks": (fixed_chunks, FIXED_SQL),
+    "chunk_statistics": (chunk_statistics, CHUNK_STATS_SQL),
+    "verify_chunks": (verify_chunks, VERIFY_SQL),
+    "section_crossing": (section_crossing, CROSSING_SQL),
+    "recursive_chunks": (recursive_chunks, None),
+    "structure_chunks": (structure_chunks, None),
+    "html_pages": (html_pages, None),
+    "postings": (postings, POSTINGS_SQL),
+    "term_stats": (term_stats, TERM_STATS_SQL),
+    "corpus_stats": (corpus_stats, CORPUS_SQL),
+    "bm25_topk": (bm25_topk, f"WITH {bm25_sql(k=K)} SELECT * FROM hits"),
+    "bm25_topk_filtered": (bm25_topk_filtered, f"WITH {bm25_sql(keep=chr(39).join(['lang IN (', 'de', ', ', 'fr', ')']), k=K)} SELECT * FROM hits"),
+    "bm25_after_upsert": (bm25_after_upsert, f"WITH {bm25_sql('SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN string_split(text, chr(10))[1] ELSE text END AS text FROM documents', k=K)} SELECT * FROM hits"),
+    "bm25_after_delete": (bm25_after_delete, f"WITH {bm25_sql(chr(39).join(['SELECT doc_id AS chunk_id, text FROM documents WHERE lang IS DISTINCT FROM ', 'es', '']), k=K)} SELECT * FROM hits"),
+    "dense_topk": (dense_topk, dense_sql("true")),
+    "dense_topk_label_filter": (dense_topk_label_filter, dense_sql("n.label IN (1, 2, 3)")),
+    "l2_norms": (l2_norms, L2_SQL),
+    "hashing_embeddings": (hashing_embeddings, None),
+    "hybrid_search": (hybrid_search, None),
+    "rrf_fusion": (rrf_fusion, fused_sql("1.0::DOUBLE / (60 + rank)")),
+    "rrf_weighted_lists": (rrf_weighted_lists, fused_sql("CASE WHEN place = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END / (20 + rank)")),
+    "minmax_fusion": (minmax_fusion, fused_sql("CASE WHEN place = 0 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END * CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END")),
+    "rerank_overlap": (rerank_overlap, RERANK_SQL),
+    "retrieval_metrics": (retrieval_metrics, f"WITH {bm25_sql()}, {QRELS_SQL} {metrics_sql('hits')}"),
+    "metrics_macro": (metrics_macro, MACRO_SQL),
+    "bootstrap_ci": (bootstrap_ci, None),
+    "query_partition_counts": (query_partition_counts, KINDS_SQL),
+    "overfetch_depth": (overfetch_depth, OVERFETCH_SQL),
+    "latency_percentiles": (latency_percentiles, LATENCY_SQL),
+    "latency_windows": (latency_windows, WINDOWS_SQL),
+    "wilson_by_group": (wilson_by_group, WILSON_SQL),
+    "extractive_answers": (extractive_answers, ANSWERS_SQL),
+    "extractive_citations": (extractive_citations, CITATIONS_SQL),
+    "gold_removal_contexts": (gold_removal_contexts, GOLD_SQL),
+    "citation_grading": (citation_grading, f"WITH {GRADES_SQL} SELECT * FROM gr2"),
+    "grade_aggregates": (grade_aggregates, AGGREGATES_SQL),
+}
