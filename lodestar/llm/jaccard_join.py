@@ -104,7 +104,7 @@ def signatures(members: np.ndarray, plan: list[tuple[int, int, int, int]]) -> np
             value = hashing.mix(members ^ U(0x2545F4914F6CDD1D))
             high = members >> U(32)
         segment = ((high * U(m)) >> U(32)).astype(np.int64)  # ascending, as the set is
-        ends = np.concatenate([[0], np.cumsum(value)]).astype(U)
+        ends = np.concatenate([np.zeros(1, U), np.cumsum(value)])
         cuts = np.searchsorted(segment, np.arange(m + 1))
         sums = ends[cuts[1:]] - ends[cuts[:-1]]
         tag = hashing.mix(np.arange(m, dtype=U) + (U(low) << U(32)))
