@@ -242,7 +242,8 @@ def sets_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     if len(own := signatures(s, plan)):
                         fps.append(fp)
                         keys.append(own.view(np.int64))
-            yield pd.DataFrame({"fp": np.array(fps, np.int64), "keys": keys})
+            if fps:
+                yield pd.DataFrame({"fp": np.array(fps, np.int64), "keys": keys})
 
     entries = stored(source.select("text").mapInPandas(index, "fp long, keys array<long>"), "entries")
     rows = entries.select("fp", F.explode("keys").alias("key"))
@@ -271,7 +272,8 @@ def sets_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 seen.add(fp)
                 fps.append(fp)
                 texts.append(text)
-            yield pd.DataFrame({"fp": np.array(fps, np.int64), "text": texts})
+            if fps:
+                yield pd.DataFrame({"fp": np.array(fps, np.int64), "text": texts})
 
     found = source.select("text").mapInPandas(fetch, "fp long, text string")
     texts = found.groupBy("fp").agg(F.min("text").alias("text")) if chosen is not None else found.join(members, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
