@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import hashing
-from lodestar.llm.common import BROADCAST_ROWS, batches, connected_components, discard, small_or_shuffled, stored, table
+from lodestar.llm.common import batches, connected_components, discard, small_or_shuffled, stored, table
 
 WIDTH = 3
 PERCENT = 90
@@ -221,7 +221,6 @@ def _across(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def sets_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(features doc_id, n, fp of every row; components node, component of set hashes with links)."""
-    spark = docs.sparkSession
     source = docs.select("doc_id", "text")
     features = stored(source.mapInPandas(_features, "doc_id long, n long, fp long"), "sets")
     largest = features.agg(F.max("n")).first()[0] or 1
@@ -253,10 +252,6 @@ def sets_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(shared)
 
     members = stored(entries_shared.select("fp").distinct(), "members")
-    wanted = members.count()
-    chosen = None
-    if wanted <= BROADCAST_ROWS:  # 8 bytes each; beyond it the join below picks the texts
-        chosen = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in members.toLocalIterator()], np.int64)))
 
     def fetch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -265,10 +260,6 @@ def sets_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             for text, s in zip(pdf["text"], _sets(pdf["text"]), strict=True):
                 if not len(s) or (fp := print_of(s)) in seen:
                     continue
-                if chosen is not None:
-                    i = int(np.searchsorted(chosen.value, fp))
-                    if i == len(chosen.value) or chosen.value[i] != fp:
-                        continue
                 seen.add(fp)
                 fps.append(fp)
                 texts.append(text)
@@ -276,7 +267,7 @@ def sets_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pd.DataFrame({"fp": np.array(fps, np.int64), "text": texts})
 
     found = source.select("text").mapInPandas(fetch, "fp long, text string")
-    texts = found.groupBy("fp").agg(F.min("text").alias("text")) if chosen is not None else found.join(members, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
+    texts = found.join(small_or_shuffled(members), "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
     texts = stored(texts, "set-texts")
 
     stars = entries_shared.where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
