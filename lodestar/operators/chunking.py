@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import SPACE, TOKEN, chunk_id, content_hash, count_tokens
+from lodestar.functions.text import SPACE, chunk_id, content_hash, count_tokens
 
 # The separators of recursive splitting, coarse to fine; a piece ends where a match ends.
 SEPARATORS = (r"\n\s*\n", r"\n", r"(?<=[.!?])[\"')\]]?\s+", r"\s+")
@@ -230,4 +230,4 @@ def tokens_per_document(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", count_tokens(F.col("text")).alias("n_tokens"))
 
 
-__all__ = ["CHUNKS", "SEPARATORS", "TOKEN", "Config", "chunk_documents", "chunk_stats", "fixed_chunks", "section_crossing", "spans_of", "tokens_per_document", "verify"]
+__all__ = ["CHUNKS", "SEPARATORS", "Config", "chunk_documents", "chunk_stats", "fixed_chunks", "section_crossing", "spans_of", "tokens_per_document", "verify"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators.chunking import verify
@@ -14,7 +14,7 @@ FORMAT = 1
 
 
 def upsert(old: DataFrame, new: DataFrame, evict_ids: bool = False) -> DataFrame:
-    """`old` (chunk_id, doc_id, ord, ...) with all chunks of the documents of `new` replaced; `ord` goes on from the last.
+    """`old` (chunk_id, doc_id, ord, ...) with all chunks of the documents of `new` replaced; `ord` goes on from the last, in the batch's own order if it has one.
 
     With `evict_ids` a chunk of another document with an equal chunk_id goes too, as a lexical
     index must. The batch's documents are an anti-join: nothing of `old` is collected.
@@ -23,9 +23,13 @@ def upsert(old: DataFrame, new: DataFrame, evict_ids: bool = False) -> DataFrame
     if evict_ids:
         kept = kept.join(new.select("chunk_id").distinct(), "chunk_id", "left_anti")
     last = old.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
-    # Places within the batch: its own order where it has one.
-    place = F.row_number().over(Window.orderBy("ord" if "ord" in new.columns else "chunk_id"))
-    added = new.withColumn("place", place.cast("long")).crossJoin(F.broadcast(last)).withColumn("ord", F.col("last") + F.col("place")).drop("last", "place")
+    if "ord" in new.columns:  # places go on in the batch's own order
+        first = new.agg(F.min("ord").alias("first"))
+        place = F.col("ord") - F.col("first")
+        new = new.crossJoin(F.broadcast(first))
+    else:
+        place = F.monotonically_increasing_id()
+    added = new.crossJoin(F.broadcast(last)).withColumn("ord", F.col("last") + 1 + place).drop("last", "first")
     return kept.select(old.columns).unionByName(added.select(old.columns))
 
 
