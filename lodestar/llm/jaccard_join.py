@@ -169,22 +169,17 @@ def _histograms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def across(n: np.ndarray, bins: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pairs (i, j), i of `left`, j of `right`, of different components that size and histogram let through."""
+    width = min(map(len, bins))  # histograms of one width can be compared
+    folded = np.stack([x.reshape(-1, width).sum(0) for x in bins]).astype(np.int32)
     by_size = right[np.argsort(n[right], kind="stable")]
     sizes = n[by_size]
-    stacks: dict[int, np.ndarray] = {}
     for i in left:
         lo, hi = np.searchsorted(sizes, -(-n[i] * PERCENT // 100)), np.searchsorted(sizes, largest_partner(int(n[i])), "right")
         near = by_size[lo:hi]
         near = near[(comp[near] != comp[i]) & (near != i)]
-        if not len(near):
-            continue
-        widths = np.array([min(len(bins[j]), len(bins[i])) for j in near])
-        for width in np.unique(widths):
-            some = near[widths == width]
-            fold = lambda x, w=width: x.reshape(-1, w).sum(0)
-            rows = np.stack([stacks.setdefault((j, width), fold(bins[j])) for j in some.tolist()])
-            gap = np.abs(rows - fold(bins[i])).sum(1)
-            for j in some[gap * (100 + PERCENT) <= (n[i] + n[some]) * (100 - PERCENT)].tolist():
+        if len(near):
+            gap = np.abs(folded[near] - folded[i]).sum(1)
+            for j in near[gap * (100 + PERCENT) <= (n[i] + n[near]) * (100 - PERCENT)].tolist():
                 yield int(i), j
 
 
