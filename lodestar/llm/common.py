@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; where the session names none (tests), a new local one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
