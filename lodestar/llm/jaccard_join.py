@@ -11,9 +11,9 @@ number of sets in the band. Pairs that share an index entry are verified on the
 
 Groups of copies never become all their pairs. Equal sets are one class (by a 64-bit hash of the
 set). First each entry's sets are verified against its smallest one only, and links make
-components. Then only entries that still hold two components are looked at: pairs across their
-components that a histogram of the sets (a lower bound of their difference, so no link is lost)
-lets through are verified too. Large entries are cut into blocks; memory is that of two blocks.
+components. Then only entries that still hold two components are looked at: of the pairs across
+their components that a histogram of the sets (a lower bound of their difference, so no link is
+lost) lets through, first the closest of each two components, then all that are left are verified. Large entries are cut into blocks; memory is that of two blocks.
 """
 
 from __future__ import annotations
@@ -167,8 +167,8 @@ def _histograms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"fp": pdf["fp"], "n": [len(s) for s in sets], "bins": [histogram(s).astype("<u2" if len(s) < 65536 else "<u4").tobytes() for s in sets]})
 
 
-def across(n: np.ndarray, bins: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs (i, j), i of `left`, j of `right`, of different components that size and histogram let through."""
+def across(n: np.ndarray, bins: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(i, j, gap of their histograms), i of `left`, j of `right`, of different components that size and histogram let through."""
     width = min(map(len, bins))  # histograms of one width can be compared
     folded = np.stack([x.reshape(-1, width).sum(0) for x in bins]).astype(np.int32)
     by_size = right[np.argsort(n[right], kind="stable")]
@@ -179,23 +179,42 @@ def across(n: np.ndarray, bins: list[np.ndarray], comp: np.ndarray, left: np.nda
         near = near[(comp[near] != comp[i]) & (near != i)]
         if len(near):
             gap = np.abs(folded[near] - folded[i]).sum(1)
-            for j in near[gap * (100 + PERCENT) <= (n[i] + n[near]) * (100 - PERCENT)].tolist():
-                yield int(i), j
+            ok = gap * (100 + PERCENT) <= (n[i] + n[near]) * (100 - PERCENT)
+            for j, g in zip(near[ok].tolist(), gap[ok].tolist(), strict=True):
+                yield int(i), j, g
 
 
-def _across(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a (key, first, second) group, which stand together: the pairs its two blocks may hold."""
+def _closest(pairs: list[tuple[int, int, int]], comp: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of the pairs between two components the one with the smallest gap."""
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for i, j, gap in pairs:
+        at = (min(comp[i], comp[j]), max(comp[i], comp[j]))
+        if at not in best or gap < best[at][2]:
+            best[at] = (i, j, gap)
+    return list(best.values())
+
+
+def _across(it: Iterator[pd.DataFrame], closest: bool) -> Iterator[pd.DataFrame]:
+    """Rows of a (key, first, second) group, which stand together: the pairs its two blocks may hold.
+
+    A pair that meets under several keys (`keys`, those of a set) is named under the least only.
+    """
     held: list[pd.DataFrame] = []
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         group = group.reset_index(drop=True)
-        n, comp, block = group["n"].to_numpy(), group["comp"].to_numpy(), group["block"].to_numpy()
+        n, comp, block, key = group["n"].to_numpy(), group["comp"].to_numpy(), group["block"].to_numpy(), group["key"].iloc[0]
         bins = [np.frombuffer(x, "<u2" if k < 65536 else "<u4").astype(np.int64) for x, k in zip(group["bins"], n, strict=True)]
         first, second = group["first"].iloc[0], group["second"].iloc[0]
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        pairs = list(across(n, bins, comp, left, right))
+        pairs = [x for x in across(n, bins, comp, left, right) if first != second or x[0] < x[1]]
+        if closest:
+            pairs = _closest(pairs, comp)
+        else:
+            own = [frozenset(k) for k in group["keys"]] if pairs else []
+            pairs = [x for x in pairs if min(own[x[0]] & own[x[1]]) == key]
         fp = group["fp"].to_numpy()
-        a, b = fp[[i for i, _ in pairs]] if pairs else fp[:0], fp[[j for _, j in pairs]] if pairs else fp[:0]
+        a, b = fp[[x[0] for x in pairs]] if pairs else fp[:0], fp[[x[1] for x in pairs]] if pairs else fp[:0]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     last = None
@@ -269,22 +288,32 @@ def sets_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = stored(verified(stars, texts), "links")
     comps = connected_components(links, "jaccard")
 
-    placed = entries_shared.join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
+    sketches = stored(texts.mapInPandas(_histograms, "fp long, n long, bins binary"), "sketches")
+    for closest in (True, False):
+        more = _open_pairs(entries_shared, comps, sketches, closest)
+        if more is None:
+            break
+        more = stored(more.join(links, ["a", "b"], "left_anti"), "open-pairs")
+        links = links.unionByName(stored(verified(more, texts), "links"))
+        comps = connected_components(links, "jaccard")
+    return features, comps
+
+
+def _open_pairs(entries: DataFrame, comps: DataFrame, sketches: DataFrame, closest: bool) -> DataFrame | None:
+    """Pairs (a, b) of sets that share an entry but no component yet: the closest one of each two components in each entry, or all. None if no entry holds two components."""
+    placed = entries.join(comps.select(F.col("node").alias("fp"), "component"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
     placed = stored(placed, "placed")
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     open_keys = stored(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
-    discard(entries_shared)
     if open_keys.isEmpty():
-        return features, comps
+        return None
     rest = placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    sketched = texts.join(rest.select("fp").distinct(), "fp", "left_semi").mapInPandas(_histograms, "fp long, n long, bins binary")
+    rest = stored(rest, "rest")
+    keys = rest.groupBy("fp").agg(F.collect_list("key").alias("keys"))  # as many as a set has entries
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rest = rest.withColumn("other", other).select("key", "fp", "comp", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-    dealt = rest.join(sketched, "fp").repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
-    more = dealt.mapInPandas(_across, "a long, b long").distinct()
-    more = more.join(links, ["a", "b"], "left_anti")
-    both = links.unionByName(stored(verified(more, texts), "links2"))
-    return features, connected_components(both, "jaccard2")
+    dealt = rest.withColumn("other", other).select("key", "fp", "comp", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    dealt = dealt.join(sketches.join(keys, "fp"), "fp").repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
+    return dealt.mapInPandas(lambda it: _across(it, closest), "a long, b long").distinct()
 
 
 def components(docs: DataFrame) -> DataFrame:
