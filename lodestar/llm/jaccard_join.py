@@ -309,10 +309,11 @@ def _open_pairs(entries: DataFrame, comps: DataFrame, sketches: DataFrame, close
         return None
     rest = placed.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rest = stored(rest, "rest")
+    discard(placed)
     keys = rest.groupBy("fp").agg(F.collect_list("key").alias("keys"))  # as many as a set has entries
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rest.withColumn("other", other).select("key", "fp", "comp", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-    dealt = dealt.join(sketches.join(keys, "fp"), "fp").repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
+    dealt = dealt.join(sketches if closest else sketches.join(keys, "fp"), "fp").repartition("key", "first", "second").sortWithinPartitions("key", "first", "second")
     return dealt.mapInPandas(lambda it: _across(it, closest), "a long, b long").distinct()
 
 
