@@ -4,7 +4,8 @@ Each text is the first layer of a worklist. A layer is scanned, then unwrapped:
 escapes are decoded in place over the whole layer, base64 runs are decoded one by one, and
 decoded bytes that begin like a gzip, zlib, bzip2, xz or zstd stream are decompressed. What
 comes out is a new layer with a map from its characters to the original text, until nothing new
-appears. A layer whose content was seen before in the text is not entered again (cycles end).
+appears. A layer whose content was seen before at the same place of the original text is not
+entered again (cycles end); at another place it is.
 All spans are code points of the original text.
 """
 
@@ -146,6 +147,8 @@ class _Map:
     def __init__(self, parent: _Map | None, pieces: list[tuple[int, int, int, int]] | None, whole: tuple[int, int] | None = None):
         self.parent, self.pieces, self.whole = parent, pieces, whole
         self.starts = np.fromiter((p[0] for p in pieces), np.int64, len(pieces)) if pieces else None
+        #: The original span of everything in this layer, if it came out of a run as a whole.
+        self.fixed: tuple[int, int] | None = parent.fixed if parent and parent.fixed else self.span(0, 1) if whole else None
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.whole is not None:
@@ -181,7 +184,7 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], set[tuple[str, i
             if (inner := _decoded(blob, max(left, 1))) is not None:
                 found.append((inner, _Map(where, None, (start, end))))
         for inner, its in found:
-            key = hashlib.blake2b(inner.encode("utf-8", "surrogatepass") + repr(its.whole).encode(), digest_size=16).digest()
+            key = hashlib.blake2b(inner.encode("utf-8", "surrogatepass") + repr(its.fixed).encode(), digest_size=16).digest()
             if key in seen:
                 continue
             seen.add(key)

@@ -138,6 +138,34 @@ def test_nested_secrets_are_found_and_mapped(inner):
     assert at <= start < end <= at + len(inner)
 
 
+def wrapped(text):
+    return base64.b64encode(text.encode()).decode()
+
+
+@pytest.mark.parametrize(
+    "copies",
+    [
+        [wrapped(wrapped(TOKEN))] * 2,
+        [wrapped(wrapped(wrapped(TOKEN)))] * 3,
+        [wrapped(quote(TOKEN, safe=""))] * 2,
+        [wrapped("".join(f"\\u{ord(c):04x}" for c in TOKEN))] * 2,
+        [wrapped("x " + wrapped(TOKEN) + " one"), wrapped("y " + wrapped(TOKEN) + " two")],
+        [quote(wrapped(wrapped(TOKEN)), safe=""), wrapped(wrapped(TOKEN))],
+    ],
+)
+def test_every_copy_of_a_nested_secret_is_found(spark, copies):
+    text = "rows: " + " and ".join(copies) + " end"
+    spans = {(s, e) for k, s, e in secret_scan.scan(text)[1] if k == "assign"}
+    at, want = 0, []
+    for copy in copies:
+        start = text.index(copy, at)
+        at = start + len(copy)
+        want.append((start, at))
+    assert all(any(s <= a and b <= e for a, b in spans) for s, e in want)
+    left = secret_scan.redact(docs_of(spark, [(1, text)])).first()["text"]
+    assert left.count("[REDACTED]") == len(copies) and not any(c in left for c in copies)
+
+
 def test_cycles_and_bombs_end():
     assert secret_scan.scan("%2525" * 50)[2] < 60
     bomb = base64.b64encode(gzip.compress(b"a" * (secret_scan.MAX_DECODED + 10))).decode()
