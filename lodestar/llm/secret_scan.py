@@ -1,11 +1,12 @@
 """Secret scanning over nested encodings.
 
-Each text is the first layer of a worklist. A layer is scanned, then unwrapped: URL and Unicode
-escapes are decoded in place over the whole layer, base64 runs are decoded one by one, and
-decoded bytes that begin like a gzip, zlib, bzip2, xz or zstd stream are decompressed. What
-comes out is a new layer with a map from its characters to the original text, until nothing new
-appears. A layer whose content was seen before at the same place of the original text is not
-entered again (cycles end); at another place it is.
+Each text is the first layer. A layer is scanned, then unwrapped: URL and Unicode escapes are
+decoded in place over the whole layer, with a map from its characters to the original text,
+until nothing decodes. Base64 runs of every such layer are decoded one by one, whole and in
+parts; decoded bytes that begin like a gzip, zlib, bzip2, xz or zstd stream are decompressed,
+all of its members, and what comes out is scanned and unwrapped in turn, be it text or not. A
+secret in a run has the run's span, so a run is read once and its result goes to every copy.
+Only content that was seen in the same run is not read again (cycles end).
 All spans are code points of the original text.
 """
 
@@ -15,6 +16,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
@@ -39,8 +41,13 @@ ESCAPE = re.compile(
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}|(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
 WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
 MAYBE = re.compile(r"%u?[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
-#: Decoded characters of one text at most, against decompression bombs; beyond it the row's `truncated` is true.
-MAX_DECODED = 32 << 20
+#: How base64 of a compressed stream begins.
+STREAM = re.compile(r"H4sI|Qlpo|/Td6|KLUv|eJ[wz]|eAE|eNo|eF4")
+#: Bytes held of one decompressed layer, and by how much the windows over a longer one overlap.
+LAYER = 16 << 20
+OVERLAP = 1 << 20
+#: Decompressed bytes of one text (or 64 for each of its characters, if that is more), against bombs. A run beyond it makes the row `truncated` and is redacted whole.
+MAX_DECODED = 256 << 20
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -94,66 +101,147 @@ def _unescape(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
     return "".join(parts), pieces
 
 
-def _inflated(data: bytes, room: int) -> bytes | None:
-    """`data` decompressed, up to `room` bytes; None if it isn't a compressed stream."""
-    try:
+def _streams(data: bytes) -> Iterator[bytes]:
+    """Pieces of what the compressed streams at the start of `data` hold, one stream after the other, then what follows them; nothing if `data` is not compressed. A broken stream ends where it breaks."""
+    first = True
+    while data:
         if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, room)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, room)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, room)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, room)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import io
-
+            reader = zlib.decompressobj(31)
+        elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+            reader = zlib.decompressobj()
+        elif data[:3] == b"BZh":
+            reader = bz2.BZ2Decompressor()
+        elif data[:6] == b"\xfd7zXZ\x00":
+            reader = lzma.LZMADecompressor()
+        elif data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(room)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    except Exception as e:  # zstandard has an error class of its own
-        if type(e).__name__ == "ZstdError":
-            return None
-        raise
-    return None
-
-
-def _decoded(blob: str, room: int) -> str | None:
-    """The text in a base64 run, through as many compressed layers as there are; None if it holds none."""
-    raw = re.sub(r"[\r\n]", "", blob).rstrip("=")
-    if len(raw) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(raw.replace("-", "+").replace("_", "/") + "=" * (-len(raw) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    seen = set()
-    while (more := _inflated(data, room)) is not None and more not in seen and more != data:
-        seen.add(data)
-        data = more
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text[:4096] if c < " " and c not in "\t\n\r")
-    return text if text and odd * 10 <= min(len(text), 4096) else None
+            source = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True)
+            try:
+                while piece := source.read(LAYER):
+                    yield piece
+            except zstandard.ZstdError:
+                pass
+            return
+        else:
+            if not first:
+                yield data
+            return
+        rest = data
+        try:
+            while not reader.eof:
+                piece = reader.decompress(rest, LAYER)
+                rest = getattr(reader, "unconsumed_tail", b"")
+                if piece:
+                    yield piece
+                elif not rest and getattr(reader, "needs_input", True):
+                    break
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            return
+        data, first = reader.unused_data, False
+
+
+COMPRESSED = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
+
+
+def _unpacked(data: bytes, room: list[int]) -> Iterator[bytes | None]:
+    """`data` through as many compressed layers as there are, in overlapping windows where one is longer than LAYER; None where it was not read to the end."""
+    work, seen = [data], set()
+    while work:
+        data = work.pop()
+        key = hashlib.blake2b(data, digest_size=16).digest()
+        if key in seen:
+            continue
+        seen.add(key)
+        held, windows, any_piece = b"", 0, False
+        for piece in _streams(data):
+            any_piece = True
+            room[0] -= len(piece)
+            if room[0] < 0:
+                yield None
+                return
+            held += piece
+            if len(held) > LAYER:
+                if (not windows and COMPRESSED.match(held)) or not re.search(rb"\s", held[-OVERLAP:]):
+                    yield None  # a stream or run that no window holds
+                yield held
+                held, windows = held[-OVERLAP:], windows + 1
+        if not any_piece:
+            yield data
+        elif windows:
+            yield held
+        else:
+            work.append(held)
+
+
+def _runs(layer: str) -> Iterator[tuple[str, int, int]]:
+    """Base64 runs of a layer (run, start, end)."""
+    for m in BLOB.finditer(layer):
+        yield m[0], m.start(), m.end()
+    if "\n" in layer:
+        for m in WRAPPED.finditer(layer):
+            yield m[0], m.start(), m.end()
+
+
+def _decoded(run: str) -> bytes:
+    """The bytes of a base64 run; what is left over at its end is dropped."""
+    raw = run.rstrip("=")
+    raw = raw[: len(raw) - (len(raw) % 4 == 1)]
+    return base64.b64decode(raw.replace("-", "+").replace("_", "/") + "=" * (-len(raw) % 4))
+
+
+def _readings(run: str) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, bytes) of a run read whole, between its `/`, `_` and `-`, and from each later place of a group of four on."""
+    if "\n" in run:
+        yield 0, len(run), _decoded(re.sub(r"[\r\n]", "", run))
+        return
+    yield 0, len(run), _decoded(run)
+    cuts = [m.end() for m in re.finditer("[/_-]", run)]
+    if cuts:
+        for start, end in zip([0, *cuts], [*(c - 1 for c in cuts), len(run)], strict=True):
+            if end - start >= 16:
+                yield start, end, _decoded(run[start:end])
+        for start in cuts:
+            if STREAM.match(run, start):
+                yield start, len(run), _decoded(run[start:])
+        for start in (1, 2, 3):
+            yield start, len(run), _decoded(run[start:])
+
+
+def _kinds(data: bytes, room: list[int]) -> tuple[set[str], int, bool]:
+    """Kinds of secrets in the bytes of a run or in anything nested in them, readable layers, whether all was read. Where in the bytes a secret stands does not matter: its span is the run's."""
+    kinds: set[str] = set()
+    layers, whole = 0, True
+    seen, work = set(), [data]
+    while work:
+        for inner in _unpacked(work.pop(), room):
+            if inner is None:
+                whole = False
+                continue
+            key = hashlib.blake2b(inner, digest_size=16).digest()
+            if key in seen:
+                continue
+            seen.add(key)
+            layer = inner.decode("latin-1")  # secrets are ASCII, whatever stands around them
+            odd = sum(1 for c in layer[:4096] if c < " " and c not in "\t\n\r")
+            layers += bool(layer) and odd * 10 <= min(len(layer), 4096)
+            kinds.update(k for k, _, _ in base_spans(layer))
+            if MAYBE.search(layer):
+                if plain := _unescape(layer):
+                    work.append(plain[0].encode("utf-8", "surrogatepass"))
+                work += [data for run, _, _ in _runs(layer) for _, _, data in _readings(run)]
+    return kinds, layers, whole
 
 
 class _Map:
     """From spans of a layer to spans of the original text."""
 
-    def __init__(self, parent: _Map | None, pieces: list[tuple[int, int, int, int]] | None, whole: tuple[int, int] | None = None):
-        self.parent, self.pieces, self.whole = parent, pieces, whole
+    def __init__(self, parent: _Map | None, pieces: list[tuple[int, int, int, int]] | None):
+        self.parent, self.pieces = parent, pieces
         self.starts = np.fromiter((p[0] for p in pieces), np.int64, len(pieces)) if pieces else None
-        #: The original span of everything in this layer, if it came out of a run as a whole.
-        self.fixed: tuple[int, int] | None = parent.fixed if parent and parent.fixed else self.span(0, 1) if whole else None
 
     def span(self, start: int, end: int) -> tuple[int, int]:
-        if self.whole is not None:
-            start, end = self.whole
-        elif self.pieces is not None:
+        if self.pieces is not None:
             a = self.pieces[int(np.searchsorted(self.starts, start, "right")) - 1]
             b = self.pieces[int(np.searchsorted(self.starts, end - 1, "right")) - 1]
             start = a[2] + (start - a[0] if a[1] - a[0] == a[3] - a[2] else 0)
@@ -161,41 +249,42 @@ class _Map:
         return self.parent.span(start, end) if self.parent else (start, end)
 
 
-def scan(text: str | None) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int]], int, bool]:
-    """Base spans, all spans, layers entered besides the text, whether decoding was cut off."""
+def scan_parts(text: str | None) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int]], int, set[tuple[int, int]]]:
+    """Base spans, all spans, layers entered besides the text, spans of runs that were not read to the end."""
     text = text or ""
     base = base_spans(text)
-    spans = set(base)
+    spans, unread = set(base), set()
     if not MAYBE.search(text):
-        return base, spans, 0, False
-    seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work: list[tuple[str, _Map]] = [(text, _Map(None, None))]
-    layers, left = 0, MAX_DECODED
-    truncated = False
-    while work:
-        layer, where = work.pop()
-        found: list[tuple[str, _Map]] = []
-        if plain := _unescape(layer):
-            found.append((plain[0], _Map(where, plain[1])))
-        blobs = [(m[0], m.start(), m.end()) for m in BLOB.finditer(layer)]
-        if "\n" in layer:
-            blobs += [(m[0], m.start(), m.end()) for m in WRAPPED.finditer(layer)]
-        for blob, start, end in blobs:
-            if (inner := _decoded(blob, max(left, 1))) is not None:
-                found.append((inner, _Map(where, None, (start, end))))
-        for inner, its in found:
-            key = hashlib.blake2b(inner.encode("utf-8", "surrogatepass") + repr(its.fixed).encode(), digest_size=16).digest()
-            if key in seen:
-                continue
-            seen.add(key)
-            left -= len(inner)
-            if left <= 0:
-                truncated = True
-                continue
-            layers += 1
-            spans.update((k, *its.span(s, e)) for k, s, e in base_spans(inner))
-            work.append((inner, its))
-    return base, spans, layers, truncated
+        return base, spans, 0, unread
+    layer, where, layers = text, _Map(None, None), 0
+    room = [max(MAX_DECODED, 64 * len(text))]
+    known: dict[str, list[tuple[int, int, set[str], bool]]] = {}
+    while True:
+        for run, at, _ in _runs(layer):
+            if run not in known:
+                known[run], before = [], set()
+                for start, end, data in _readings(run):
+                    kinds, n, whole = _kinds(data, room)
+                    layers += n
+                    if kinds - before or not whole:
+                        known[run].append((start, end, kinds - before, whole))
+                    before |= kinds
+            for start, end, kinds, whole in known[run]:
+                span = where.span(at + start, at + end)
+                spans.update((k, *span) for k in kinds)
+                if not whole:
+                    unread.add(span)
+        plain = _unescape(layer)
+        if plain is None:
+            return base, spans, layers, unread
+        layer, where, layers = plain[0], _Map(where, plain[1]), layers + 1
+        spans.update((k, *where.span(s, e)) for k, s, e in base_spans(layer))
+
+
+def scan(text: str | None) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int]], int, bool]:
+    """Base spans, all spans, layers entered besides the text, whether a run was not read to the end."""
+    base, spans, layers, unread = scan_parts(text)
+    return base, spans, layers, bool(unread)
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, truncated boolean"
@@ -222,7 +311,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, marker: str = "[REDACTED]") -> DataFrame:
-    """`docs` with every secret span of `text` replaced by `marker` (overlapping spans by one), `n_chars` set to the new length where the text changed. Columns as in `docs`."""
+    """`docs` with every secret span of `text`, and every run that was not read to the end, replaced by `marker` (overlapping spans by one), `n_chars` set to the new length where the text changed. Columns as in `docs`."""
     schema = docs.schema
     has_length = "n_chars" in docs.columns
 
@@ -230,7 +319,8 @@ def redact(docs: DataFrame, marker: str = "[REDACTED]") -> DataFrame:
         for pdf in batches(it):
             texts, lengths = [], []
             for i, text in enumerate(pdf["text"]):
-                spans = sorted((s, e) for _, s, e in scan(text)[1])
+                _, found, _, unread = scan_parts(text)
+                spans = sorted({(s, e) for _, s, e in found} | unread)
                 if spans:
                     parts, at = [], 0
                     for s, e in spans:
@@ -252,4 +342,4 @@ def redact(docs: DataFrame, marker: str = "[REDACTED]") -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents").select("doc_id", F.col("text"))).drop("n_layers", "truncated")
+    return find_secrets(table(spark, sf_dir, "documents").select("doc_id", F.col("text"))).drop("n_layers")

@@ -3,8 +3,11 @@
 import base64
 import gzip
 import hashlib
+import io
 import random
 import re
+import tarfile
+import tempfile
 from urllib.parse import quote
 
 import numpy as np
@@ -166,6 +169,53 @@ def test_every_copy_of_a_nested_secret_is_found(spark, copies):
     assert left.count("[REDACTED]") == len(copies) and not any(c in left for c in copies)
 
 
+def packed(data):
+    return base64.b64encode(data).decode()
+
+
+def tarred(data):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        info = tarfile.TarInfo("a")
+        info.size = len(data)
+        tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        lambda: packed(gzip.compress(tarred(TOKEN.encode()))),
+        lambda: packed(gzip.compress(b"first") + gzip.compress(TOKEN.encode())),
+        lambda: packed(b"\xff\xfe " + TOKEN.encode()),
+        lambda: packed(gzip.compress(b"\n" * (33 << 20) + TOKEN.encode())),
+        lambda: "files/v1/" + packed(TOKEN.encode()),
+        lambda: "files/v1/" + packed(gzip.compress(TOKEN.encode())),
+    ],
+)
+def test_secrets_deep_in_decoded_bytes_are_found(inner):
+    run = inner()
+    text = f"words {run} end"
+    _, spans, _, cut = secret_scan.scan(text)
+    start, end = max(((s, e) for k, s, e in spans if k == "assign"), key=lambda x: x[1] - x[0])
+    assert 6 <= start < end <= 6 + len(run) and not cut
+
+
+def test_long_text_keeps_all_escape_layers():
+    inner = quote(quote(quote(TOKEN, safe=""), safe=""), safe="")
+    text = "word " * (12 << 18) + inner
+    _, spans, _, cut = secret_scan.scan(text)
+    assert any(k == "assign" and s >= len(text) - len(inner) for k, s, _ in spans) and not cut
+
+
+def test_runs_that_were_not_read_are_redacted(spark):
+    bomb = packed(gzip.compress(b"a\n" * (secret_scan.MAX_DECODED // 2 + 10)))
+    rows = docs_of(spark, [(1, f"x {bomb} y")])
+    assert secret_scan.redact(rows).first()["text"] == "x [REDACTED] y"
+    rows.write.parquet(path := tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/documents.parquet")
+    assert secret_scan.op2_secret_scan(spark, path.rsplit("/", 1)[0]).first()["truncated"]
+
+
 def test_cycles_and_bombs_end():
     assert secret_scan.scan("%2525" * 50)[2] < 60
     bomb = base64.b64encode(gzip.compress(b"a" * (secret_scan.MAX_DECODED + 10))).decode()
