@@ -4,7 +4,8 @@ Labelled outcomes of pages (good 1, bad 0) are counted for each host, summed up
 domains and suffixes, and shrunk downwards through beta-binomial priors: the suffix's rate is
 shrunk to the rate of the whole corpus, a domain's to its suffix's, a host's to its domain's,
 each with a fixed prior strength. A host is blocked if even the upper bound of its posterior
-good rate lies under the threshold; a host nobody labelled inherits its domain's posterior.
+good rate lies under the threshold; a host nobody labelled inherits the posterior of its domain,
+a domain nobody labelled that of its suffix, and such a suffix that of the whole.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import table
+from lodestar.llm.common import small_or_shuffled, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path), as the contract of the query states them.
@@ -25,6 +26,10 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: Public suffixes of two labels, by their first and second.
+SECOND = ("ac", "co", "com", "edu", "gob", "gov", "gv", "ne", "net", "or", "org")
+COUNTRIES = ("ar", "at", "au", "bd", "br", "cn", "co", "eg", "hk", "id", "il", "in", "jp", "ke", "kr", "mx", "my", "ng", "nz", "pe", "ph", "pk", "sa", "sg", "th", "tr", "tw", "ua", "uk", "ve", "vn", "za")
+TWO_PART = rf"(^|\.)({'|'.join(SECOND)})\.({'|'.join(COUNTRIES)})$"
 #: Prior strengths in pseudo-pages; a host is blocked if posterior mean + Z * sd < MIN_GOOD.
 STRENGTH = 8.0
 Z = 1.645
@@ -52,12 +57,13 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def domain_of(host: Column) -> Column:
-    """The last two labels: the registered domain."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the public suffix and the label before it."""
+    return F.when(host.rlike(TWO_PART), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The last label, or the last two if they are a public suffix of TWO_PART."""
+    return F.when(host.rlike(TWO_PART), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
@@ -100,12 +106,18 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str,
     by_host = known.select("host", upper_bound(F.col("n"), F.col("g"), F.col("domain_mean")).alias("host_upper"))
     by_domain = known.groupBy("domain").agg(F.max("domain_mean").alias("domain_mean"))
     by_domain = by_domain.select("domain", upper_bound(F.lit(0.0), F.lit(0.0), F.col("domain_mean")).alias("domain_upper"))
+    by_suffix = known.groupBy("suffix").agg(F.max("suffix_mean").alias("suffix_mean"))
+    by_suffix = by_suffix.select("suffix", upper_bound(F.lit(0.0), F.lit(0.0), F.col("suffix_mean")).alias("suffix_upper"))
+    whole = known.agg(((F.sum("g") + 1.0) / (F.sum("n") + 2.0)).alias("mean"))
+    whole = whole.select(upper_bound(F.lit(0.0), F.lit(0.0), F.col("mean")).alias("whole_upper"))
     # Every host is judged once; the verdict of a host then goes back to its pages.
-    hosts = parsed.groupBy("host").agg(F.count("*").alias("pages")).withColumn("domain", domain_of(F.col("host")))
+    hosts = parsed.groupBy("host").agg(F.count("*").alias("pages")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     verdicts = (
         hosts.join(by_host, "host", "left")
         .join(by_domain, "domain", "left")
-        .select("host", F.when(F.coalesce("host_upper", "domain_upper", F.lit(1.0)) < MIN_GOOD, "block").otherwise("allow").alias("reputed"))
+        .join(small_or_shuffled(by_suffix), "suffix", "left")
+        .crossJoin(F.broadcast(whole))
+        .select("host", F.when(F.coalesce("host_upper", "domain_upper", "suffix_upper", "whole_upper", F.lit(1.0)) < MIN_GOOD, "block").otherwise("allow").alias("reputed"))
     )
     ruled = parsed.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     return ruled.join(verdicts, "host", "left").select(

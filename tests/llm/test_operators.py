@@ -406,6 +406,18 @@ def test_bad_hosts_are_blocked(spark):
 # --- 7 ----------------------------------------------------------------------------------------
 
 
+def test_unlabelled_domains_take_their_suffix(spark):
+    pages = [(i, f"http://h{i % 40}.bad{i % 40}.biz/{i}") for i in range(400)] + [(i, f"http://g{i % 40}.fine{i % 40}.org/{i}") for i in range(400, 800)]
+    pages += [(i, f"http://www.bad.co.uk/{i}") for i in range(800, 900)] + [(i, f"http://www.x{i}.co.uk/{i}") for i in range(900, 1200)]
+    labels = [(i, 0 if i < 400 or 800 <= i < 900 else 1) for i in range(1200)]
+    pages += [(2000, "http://new.unseen.biz/"), (2001, "http://new.unseen.org/"), (2002, "http://new.unseen.co.uk/"), (2003, "http://new.unseen.zz/"), (2004, "http://sub.bad.co.uk/")]
+    got = rows_of(url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good long"), ()), "page_id")
+    assert [got[i]["verdict"] for i in range(2000, 2005)] == ["block", "allow", "allow", "allow", "block"]
+    bad = spark.createDataFrame([(i, 0) for i in range(400)], "page_id long, good long")
+    got = rows_of(url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), bad, ()), "page_id")
+    assert got[2003]["verdict"] == "block"
+
+
 def test_quality_is_learned_and_scored(spark):
     rng = random.Random(10)
     junk = lambda: " ".join(w.upper() + "!!" for w in prose(rng, 30).split())
