@@ -637,6 +637,59 @@ def test_forward_sums_all_segmentations():
         assert uses[pieces.index(p)] == pytest.approx(3 * sum(v * way.count(p) for way, v in ways.items()) / sum(ways.values()))
 
 
+def test_long_words_are_summed_like_short_ones():
+    pieces = ["", "▁", "▁a", "a", "b", "ab", "ba", "▁ab", "aabbaabb"]
+    lattice, rng = language_id.Lattice(pieces), np.random.default_rng(1)
+    prob = rng.random((len(pieces), 3)) / 10
+    words = ["a", "abba", "zzz", "aabbaabbaabbz", "ab" * 16]
+    short = lattice.log_probabilities(words, prob)
+    for w, row in zip(words, short, strict=True):
+        assert lattice.log_long(w, prob) == pytest.approx(row)
+        assert lattice.expected_long(w, prob[:, 1]) == pytest.approx(lattice.expected([w], np.array([1.0]), prob[:, 1]))
+    huge = lattice.log_long("ab" * 20_000, prob)  # several stretches, far below what a float holds unscaled
+    assert np.isfinite(huge).all() and huge == pytest.approx(lattice.log_long("ab" * 10_000, prob) * 2, rel=1e-2)
+
+
+def segmentations(word, pieces):
+    """Brute force: every segmentation of a word as piece ids; a character that is no piece is piece 0."""
+    if not word:
+        yield []
+        return
+    known = set(pieces[1:])
+    for n in range(1, min(len(word), language_id.LONGEST_PIECE) + 1):
+        if word[:n] in known or n == 1:
+            own = pieces.index(word[:n]) if word[:n] in known else 0
+            for rest in segmentations(word[n:], pieces):
+                yield [own, *rest]
+
+
+def test_fit_and_identify_match_brute_force(spark, monkeypatch):
+    pieces = ["", "▁", "▁a", "a", "b", "c", "ab", "ba", "ca", "abc"]
+    monkeypatch.setattr(language_id, "pieces_of", lambda path: pieces)
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abbz" if i % 2 else "accb") for _ in range(rng.randrange(1, 7))) for _ in range(8)), "x" if i % 2 else "y") for i in range(30)]
+    df = spark.createDataFrame([*rows, (90, "½ ² ①", None), (91, "a½b", None), (92, "Ⅷ", "x")], "doc_id long, text string, lang string")
+    langs, _, prob = language_id.fit(df)
+    want = np.full((len(pieces), 2), 1 / len(pieces))
+    for _ in range(language_id.ROUNDS):
+        uses = np.full(want.shape, language_id.SMOOTHING)
+        for _, text, lang in rows:
+            k = langs.index(lang)
+            for w in text.split():
+                ways = [(np.prod(want[way, k]), way) for way in segmentations("▁" + w, pieces)]
+                for p, way in ways:
+                    np.add.at(uses[:, k], way, p / sum(q for q, _ in ways))
+        want = uses / uses.sum(0)
+    assert langs == ["x", "y"] and prob == pytest.approx(want)
+    got = rows_of(language_id.identify(df, (langs, pieces, prob)))
+    for doc_id, text, _ in rows:
+        log = [sum(np.log(sum(np.prod(want[way, k]) for way in segmentations("▁" + w, pieces))) for w in text.split()) for k in (0, 1)]
+        assert got[doc_id]["lang_pred"] == langs[int(np.argmax(log))]
+        assert got[doc_id]["score"] == pytest.approx(1 / (1 + np.exp(min(log) - max(log))))
+    assert [got[i]["lang_pred"] for i in (90, 92)] == ["und", "und"] and got[91]["lang_pred"] in langs
+    assert language_id.words_of("a½b Ⅷ x²y ①") == ["a", "b", "x", "y"]
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(3)
     en, de = ["the", "with", "house", "thing", "over", "which"], ["der", "mit", "häuser", "straße", "über", "nicht"]
