@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm import hashing
-from lodestar.llm.common import batches, table
+from lodestar.llm.common import batches, discard, stored, table
 
-#: Bounds of the training sample: labelled documents in expectation, and evenly spread passages of each.
-TRAIN_DOCS, TRAIN_PASSAGES = 6000, 48
+#: Bounds of the sample of labelled documents that is learned from, in expectation: documents, and bytes of their texts. Each is read whole.
+TRAIN_DOCS, TRAIN_BYTES = 6000, 64 << 20
 PASSAGE_WORDS = 64
 HASHED = 32
 HIDDEN, GATE = 24, 12
@@ -131,23 +131,30 @@ def train(bags: list[np.ndarray], y: np.ndarray) -> Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Learn from `docs` (doc_id, text) joined with `labels` (doc_id, quality 0/1; repeated: the least). None if no document is labelled.
 
-    Of all labelled documents those are learned from whose hash falls under TRAIN_DOCS / count.
+    Of all labelled documents those are learned from whose hash falls under a rate that keeps their
+    number under TRAIN_DOCS and their texts under TRAIN_BYTES in expectation; every passage of them
+    is. Of repeated rows with one doc_id the least text is taken; null texts are a passage of zeros.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = known.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(draw < TRAIN_DOCS / max(labelled, 1))
+    rate = TRAIN_DOCS / max(labelled, 1)
+    sample = known.where(draw < rate)
+    if not labelled:
+        return None
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    texts = stored(texts, "labelled")  # at most about TRAIN_DOCS rows by construction, whatever the size of the tables
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > TRAIN_BYTES:
+        texts = texts.where(draw < rate * (TRAIN_BYTES / size))
 
     def bag(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches(it):
-            rows = [features(t) for t in pdf["text"]]
-            rows = [x if len(x) <= TRAIN_PASSAGES else x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)] for x in rows]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "bag": [x.tobytes() for x in rows]})
-
-    # At most about TRAIN_DOCS rows by construction, whatever the size of the tables.
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = texts.mapInPandas(bag, "doc_id long, quality int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")]) if labelled else None
-    if rows is None or not rows.num_rows:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "bag": [features(t).tobytes() for t in pdf["text"]]})
+
+    rows = texts.mapInPandas(bag, "doc_id long, quality int, bag binary").toArrow().sort_by([("doc_id", "ascending")])
+    discard(texts)
+    if not rows.num_rows:
         return None
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES).astype(np.float64) for x in rows["bag"].to_pylist()]
     return train(bags, rows["quality"].to_numpy().astype(float))
@@ -181,6 +188,7 @@ def held_out() -> Column:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of `documents` with its score; learned from the labelled rows that are not held out, as `fit` and `score` say."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = fit(docs, labels.where(~held_out()))

@@ -331,6 +331,62 @@ def test_raking_takes_all_of_what_is_short():
     assert chance[("b",)] == 1.0 and chance[("a",)] <= 1
 
 
+def raked(cells, wants, keep):
+    """Brute force: cell by cell, one dimension after the other."""
+    total = sum(cells.values())
+    chance = dict.fromkeys(cells, keep)
+    for _ in range(3000):
+        for d, want in enumerate(wants):
+            for name, share in want.items():
+                own = [k for k in cells if k[d] == name]
+                have = sum(chance[k] * cells[k] for k in own) / total
+                for k in own:
+                    chance[k] = min(1.0, chance[k] * keep * share / have)
+    return chance
+
+
+def many_sources(spark, n=100):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 20 + i % 13), f"s{i % n}", ("en", "de", None)[i % 7 % 3]) for i in range(6 * n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+
+
+def test_mixing_matches_brute_force_with_every_source_a_category(spark, monkeypatch):
+    rows, df = many_sources(spark)
+    got = {r["doc_id"]: r for r in mixing.weigh(df).collect()}
+    cells = {}
+    for doc_id, text, source, lang in rows:
+        key = (source, lang or mixing.NONE, str(got[doc_id]["topic"]))
+        cells[key] = cells.get(key, 0.0) + len(text.split())
+    wants = []
+    for d in range(3):
+        mass = {}
+        for k, v in cells.items():
+            mass[k[d]] = mass.get(k[d], 0.0) + v
+        wants.append({k: v**0.5 / sum(x**0.5 for x in mass.values()) for k, v in mass.items()})
+    want = raked(cells, wants, mixing.KEEP)
+    for doc_id, _, source, lang in rows:
+        assert got[doc_id]["probability"] == pytest.approx(want[source, lang or mixing.NONE, str(got[doc_id]["topic"])], abs=1e-6)
+    assert len({r["topic"] for r in got.values()}) > 2
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 10)  # the same by joins
+    for r in mixing.weigh(df).collect():
+        assert r["probability"] == pytest.approx(got[r["doc_id"]]["probability"], abs=2e-3) and r["topic"] == got[r["doc_id"]]["topic"]
+
+
+def test_mixing_targets(spark, monkeypatch):
+    rows, df = many_sources(spark)
+    targets = {"source": {f"s{i}": 1 / 99 for i in range(99)}}  # s99 is tempered
+    for cells in (mixing.DRIVER_CELLS, 10):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+        got = mixing.weigh(df, targets).collect()
+        assert min(r["probability"] for r in got) > 0
+        drawn = {s: sum(r["probability"] * r["n_tokens"] for r in got if r["source"] == s) for s in ("s3", "s42", "s99")}
+        assert drawn["s3"] == pytest.approx(drawn["s42"], rel=0.02) and drawn["s99"] > 0
+        for bad in ({"source": {"nowhere": 1.0}}, {"lang": {}}, {"lang": {"en": -1.0}}):
+            with pytest.raises(ValueError):
+                mixing.weigh(df, bad)
+
+
 def test_mixing_rows(spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, 40), f"s{i % 3}" if i % 7 else None, "en" if i % 2 else None, i) for i in range(300)] + [(900, None, "s0", "en", 1), (901, "", None, None, 1), (901, "", None, None, 1)]
@@ -432,6 +488,22 @@ def test_quality_is_learned_and_scored(spark):
     assert {r["predicted"] for r in quality_mil.score(docs_of(spark, [(1, None)]), None).collect()} == {1}
 
 
+def test_quality_matches_training_on_the_whole_sample(spark, monkeypatch):
+    monkeypatch.setattr(quality_mil, "EPOCHS", 3)
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.choice([5, 70, 400]))) for i in range(60)] + [(60, prose(rng, 9000)), (61, None), (62, "")]
+    labels = [(i, i % 2) for i in range(63)]
+    docs = docs_of(spark, [*rows, (3, "zzz repeated id"), (3, rows[3][1])])
+    least = {**dict(rows), 3: min("zzz repeated id", rows[3][1])}
+    model = quality_mil.train([quality_mil.features(least[i]).astype(np.float64) for i in range(63)], np.array([i % 2 for i in range(63)], float))
+    got = quality_mil.score(docs, quality_mil.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))).collect()
+    assert len(got) == len(rows) + 2
+    for r in got:
+        x = quality_mil.features(r["text"]).astype(np.float64)
+        assert r["score"] == pytest.approx(model.forward(x, np.array([0]))[-1][0], abs=1e-6)
+    assert len(quality_mil.features(rows[60][1])) == -(-9000 // quality_mil.PASSAGE_WORDS)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     bags = [rng.standard_normal((n, quality_mil.N_FEATURES)) for n in (1, 3, 5)]

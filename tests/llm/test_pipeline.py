@@ -67,3 +67,17 @@ def test_run_is_the_stages_in_order(spark, folder):
     path, _ = folder
     out = corpus_pipeline.run(spark, path)
     assert out.columns == [*COLUMNS, "topic", "n_tokens", "weight", "probability"] and out.count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_rows_without_id_are_judged_like_all_others(spark, folder):
+    path, items = folder
+    rng = random.Random(5)
+    text, other, clean = prose(rng, 60), prose(rng, 50), prose(rng, 40)
+    rows = [(None, text), (None, text), (None, text + " end"), (7, other), (None, other), (7, clean), (7, clean), (None, None), (None, ""), (8, None), (None, items[0][1]), (9, items[1][1])]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, path).collect()]
+    assert len(left) == len(set(left)) and len([1 for _, t in left if t in (text, text + " end")]) == 1
+    assert (7, other) in left and (None, other) not in left and (7, clean) in left  # one id, two texts: two documents
+    assert {(None, None), (None, ""), (8, None)} <= set(left)
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination(spark, docs, path).collect()]
+    assert sorted(left, key=repr) == sorted([r for r in rows if r[1] not in (items[0][1], items[1][1])], key=repr)
