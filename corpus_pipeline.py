@@ -4,41 +4,59 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, jaccard_join, mixing, quality_mil, secret_scan
-from lodestar.llm.common import shared_dir, table
+from lodestar.llm.common import shared_dir, stored, table
+
+
+def _row_key() -> Column:
+    """Tells rows apart that differ in doc_id or text, null or not. Rows that agree in both are one document."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from their own labels that are not held out."""
+    """Documents that the classifier accepts; it learns from their own labels that are not held out.
+
+    Null and empty texts are scored like any other; rows without doc_id too, but nothing is learned
+    from them. Repeated rows get one score each. A score at the threshold is accepted.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality_mil.fit(docs, labels.where(~quality_mil.held_out()))
     return quality_mil.score(docs, model).where("predicted = 1").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join: the one with its id. Of repeated rows of a doc_id one stays; rows without doc_id stay."""
-    found = jaccard_join.components(docs.select("doc_id", "text"))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    left = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns)
-    return left.unionByName(docs.where("doc_id is null"))
+    """One document of each component of the n-gram Jaccard join: the one with the smallest doc_id; of several with that id (or none with an id) one by hash.
+
+    Rows without doc_id take part like all others; of rows that agree in doc_id and text one stays.
+    Null and empty texts and texts without words are linked with nothing and stay.
+    """
+    keyed = docs.withColumn("_key", _row_key())
+    ids = keyed.groupBy("_key").agg(F.first("doc_id").alias("id"))
+    found = jaccard_join.components(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    named = stored(found.join(ids, "_key"), "pipeline-components")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key")).alias("x")).select(F.col("x._key").alias("_key"))
+    gone = named.select("_key").join(first, "_key", "left_anti")
+    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with benchmark passages."""
-    found = decontaminate.match(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    bad = found.where(decontaminate.contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Documents that are not contaminated with benchmark passages. Rows without doc_id are judged like all others; null and empty texts have no words and stay; repeated rows go or stay together."""
+    keyed = docs.withColumn("_key", _row_key())
+    found = decontaminate.match(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = found.where(decontaminate.contaminated()).select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(bad, "_key", "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret in their texts redacted."""
+    """All documents, every secret in their texts redacted, and runs that were not read to the end. Null and empty texts and texts without secrets stay as they are; repeated rows are each redacted."""
     return secret_scan.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn to the raked weights, with topic, n_tokens, weight and probability."""
+    """The documents drawn to the raked weights, with topic, n_tokens, weight and probability. Null and empty texts are drawn like their cell; rows with one doc_id together."""
     return mixing.weigh(docs).where("kept").drop("kept")
 
 
