@@ -595,12 +595,12 @@ def test_windows_share_a_minimiser():
 
 def test_keys_name_blocks_that_hold_them():
     rng = np.random.default_rng(4)
-    texts = [rng.integers(0, 2**64, n, np.uint64) for n in (3, 50, 479, 512, 513, 767, 768, 769, 3000)]
+    texts = [rng.integers(0, 2**64, n, np.uint64) for n in (3, 50, 383, 384, 385, 479, 512, 640, 641, 769, 3000)]
     fps = np.arange(len(texts), dtype=np.int64) << 40
     keys, holders = substring_dedup.keys_of(texts, fps)
     for text, fp in zip(texts, fps.tolist(), strict=True):
         own = holders >> substring_dedup.BLOCK_BITS << substring_dedup.BLOCK_BITS == fp
-        blocks = list(range(0, max(1, len(text) - substring_dedup.STRIDE), substring_dedup.STRIDE))
+        blocks = list(range(0, max(1, len(text) - substring_dedup.BLOCK + substring_dedup.STRIDE), substring_dedup.STRIDE))
         for key, block in zip(keys[own].tolist(), (holders[own] - fp).tolist(), strict=True):
             part = text[blocks[block] : blocks[block] + substring_dedup.BLOCK]
             assert key in set(substring_dedup.keys_of([part], np.array([0]))[0].tolist()) or key & 1  # a long key depends on its neighbours
