@@ -797,9 +797,29 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_CHARS, 300])
-def test_decontamination_matches_brute_force(spark, monkeypatch, block):
+def brute_near(texts, items):
+    """Names of the nearby items of each text: by hand, over all places of all terms."""
+    words = [words_by_hand(t) for t in texts]
+    count = {}
+    for w in words:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    out = [set() for _ in texts]
+    for item, t in items:
+        rare = sorted(set(words_by_hand(t)), key=lambda x: (count.get(x, 0), x.encode()))[: decontaminate.NEAR_TERMS]
+        if item is None or len(rare) < decontaminate.NEAR_TERMS:
+            continue
+        for i, w in enumerate(words):
+            at = {x: [k for k, y in enumerate(w) if y == x] for x in rare}
+            if any(all(any(abs(p - q) <= decontaminate.NEAR_SLOP for q in at[x]) for x in rare[1:]) for p in at[rare[0]]):
+                out[i].add(str(item))
+    return [sorted(x) for x in out]
+
+
+@pytest.mark.parametrize(("block", "index"), [(decontaminate.BLOCK_CHARS, decontaminate.INDEX_CHARS), (300, decontaminate.INDEX_CHARS), (100, 400)])
+def test_decontamination_matches_brute_force(spark, monkeypatch, block, index):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    monkeypatch.setattr(decontaminate, "INDEX_CHARS", index)
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 150)
     rng = random.Random(13)
     items = [(i, prose(rng, n)) for i, n in enumerate([40, 13, 12, 5, 1, 30, 25])] + [(7, None), (8, ""), (9, "the " * 20), (10, "Über-straße 12 été")]
@@ -807,8 +827,9 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, block):
     rows += [(100, None), (101, ""), (102, "über-STRASSE Über-straße 12 été"), (102, "the"), (103, "the " * 13)]
     benchmark = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as rid")
     got = decontaminate.match(docs_of(spark, rows, True), benchmark).collect()
-    want = sorted((i, *brute_hits(t, items)) for i, t in rows)
-    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"])) for r in got) == want
+    nears = brute_near([t for _, t in rows], items)
+    want = sorted((i, *brute_hits(t, items), near) for (i, t), near in zip(rows, nears, strict=True))
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"]), sorted(r["near"])) for r in got) == want and any(nears)
     assert decontaminate.match(docs_of(spark, []), benchmark).collect() == []
     assert {r["n_hit"] for r in decontaminate.match(docs_of(spark, rows), benchmark.limit(0)).collect()} == {0}
 
@@ -818,3 +839,11 @@ def test_items_close_together(spark):
     near = "some words umbrella more whiskey here zebra and yellow then xylophone at tango last victor end sierra romeo quebec papa oscar mike november"
     got = rows_of(decontaminate.match(docs_of(spark, [(1, near), (2, "nothing here")]), spark.createDataFrame([(5, item)], "item_id long, text string")))
     assert got[1]["near"] == ["5"] and got[1]["n_hit"] == 0 and got[2]["near"] == []
+
+
+def test_items_split_over_documents_are_not_near(spark):
+    item = "zebra yellow xylophone whiskey"
+    rows = [(1, "zebra yellow"), (2, "xylophone whiskey"), (3, "whiskey and yellow zebra"), (4, "xylophone"), (5, "x xylophone whiskey yellow zebra")]
+    got = rows_of(decontaminate.match(docs_of(spark, rows).coalesce(1), spark.createDataFrame([(5, item), (None, "xylophone whiskey yellow")], "item_id long, text string")))
+    assert {i for i, r in got.items() if r["near"] == ["5"]} == {5}
+    assert got[5]["n_hit"] == 3 and got[5]["items"] == []  # hit by the item without id, which has no name
