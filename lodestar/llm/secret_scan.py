@@ -2,7 +2,7 @@
 
 Each text is the first layer. A layer is scanned, then unwrapped: URL and Unicode escapes are
 decoded in place over the whole layer, with a map from its characters to the original text,
-until nothing decodes. Base64 runs of every such layer are decoded one by one, whole and in
+until nothing decodes (bytes that are no UTF-8 stay escaped). URL-escaped compressed streams are read. Base64 runs of every such layer are decoded one by one, whole and in
 parts; decoded bytes that begin like a gzip, zlib, bzip2, xz or zstd stream are decompressed,
 all of its members, and what comes out is scanned and unwrapped in turn, be it text or not. A
 secret in a run has the run's span, so a run is read once and its result goes to every copy.
@@ -21,6 +21,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pandas as pd
@@ -78,15 +79,16 @@ def _unescape(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
     for m in ESCAPE.finditer(text):
         raw = m[0]
         if m["url"]:
-            try:
-                chars = bytes.fromhex(raw.replace("%", "")).decode()
-            except UnicodeDecodeError:
+            # Bytes that are no UTF-8 come out as lone surrogates and stay escaped, each on its own.
+            chars = bytes.fromhex(raw.replace("%", "")).decode("utf-8", "surrogateescape")
+            if all("\udc80" <= c <= "\udcff" for c in chars):
                 continue
             put(text[at : m.start()], at, m.start())
             pos = m.start()
             for c in chars:  # three characters for each byte
-                put(c, pos, pos + 3 * len(c.encode()))
-                pos += 3 * len(c.encode())
+                size = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+                put(raw[pos - m.start() : pos - m.start() + 3] if "\udc80" <= c <= "\udcff" else c, pos, pos + 3 * size)
+                pos += 3 * size
         else:
             digits = re.sub(r"[^0-9A-Fa-f]", "", raw[2:])
             code = int(digits, 10) if m["ref"] and raw[2] not in "xX" else int(digits, 16)
@@ -101,6 +103,10 @@ def _unescape(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
     return "".join(parts), pieces
 
 
+class Unread(Exception):
+    """A stream that nothing here can read."""
+
+
 def _streams(data: bytes) -> Iterator[bytes]:
     """Pieces of what the compressed streams at the start of `data` hold, one stream after the other, then what follows them; nothing if `data` is not compressed. A broken stream ends where it breaks."""
     first = True
@@ -114,8 +120,10 @@ def _streams(data: bytes) -> Iterator[bytes]:
         elif data[:6] == b"\xfd7zXZ\x00":
             reader = lzma.LZMADecompressor()
         elif data[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
+            try:
+                import zstandard
+            except ImportError as e:
+                raise Unread from e
             source = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True)
             try:
                 while piece := source.read(LAYER):
@@ -144,6 +152,13 @@ def _streams(data: bytes) -> Iterator[bytes]:
 COMPRESSED = re.compile(rb"\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 
 
+def _read(data: bytes) -> Iterator[bytes | None]:
+    try:
+        yield from _streams(data)
+    except Unread:
+        yield None
+
+
 def _unpacked(data: bytes, room: list[int]) -> Iterator[bytes | None]:
     """`data` through as many compressed layers as there are, in overlapping windows where one is longer than LAYER; None where it was not read to the end."""
     work, seen = [data], set()
@@ -154,7 +169,10 @@ def _unpacked(data: bytes, room: list[int]) -> Iterator[bytes | None]:
             continue
         seen.add(key)
         held, windows, any_piece = b"", 0, False
-        for piece in _streams(data):
+        for piece in _read(data):
+            if piece is None:
+                yield None
+                continue
             any_piece = True
             room[0] -= len(piece)
             if room[0] < 0:
@@ -183,6 +201,38 @@ def _runs(layer: str) -> Iterator[tuple[str, int, int]]:
             yield m[0], m.start(), m.end()
 
 
+#: What may stand in URL-escaped bytes.
+ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!$'()*+,:@/;=-])+")
+
+
+def _begins(data: bytes) -> bool:
+    """Whether the first bytes of a compressed stream can be read."""
+    try:
+        if data[:3] == b"BZh":
+            bz2.BZ2Decompressor().decompress(data)
+        elif data[:1] == b"\xfd":
+            lzma.LZMADecompressor().decompress(data)
+        elif data[:1] != b"\x28":
+            zlib.decompressobj(47).decompress(data)
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+        return False
+    return True
+
+
+def _escaped_streams(layer: str) -> Iterator[tuple[bytes, int, int]]:
+    """Bytes of URL-escaped compressed streams of a layer (data, start, end): from where one begins to where escapes and plain URL characters end."""
+    for run in ESCAPED.finditer(layer) if "%" in layer else ():
+        if "%" not in run[0]:
+            continue
+        data = unquote_to_bytes(run[0])
+        found = [m.start() for m in COMPRESSED.finditer(data) if _begins(data[m.start() : m.start() + 256])]
+        if found:
+            sizes = [len(x) for x in re.findall(r"%[0-9A-Fa-f]{2}|.", run[0])]
+            places = np.concatenate([[0], np.cumsum(sizes)])
+            for at in found:
+                yield data[at:], run.start() + int(places[at]), run.end()
+
+
 def _decoded(run: str) -> bytes:
     """The bytes of a base64 run; what is left over at its end is dropped."""
     raw = run.rstrip("=")
@@ -230,6 +280,7 @@ def _kinds(data: bytes, room: list[int]) -> tuple[set[str], int, bool]:
                 if plain := _unescape(layer):
                     work.append(plain[0].encode("utf-8", "surrogatepass"))
                 work += [data for run, _, _ in _runs(layer) for _, _, data in _readings(run)]
+                work += [data for data, _, _ in _escaped_streams(layer)]
     return kinds, layers, whole
 
 
@@ -274,6 +325,13 @@ def scan_parts(text: str | None) -> tuple[list[tuple[str, int, int]], set[tuple[
                 spans.update((k, *span) for k in kinds)
                 if not whole:
                     unread.add(span)
+        for data, start, end in _escaped_streams(layer):
+            kinds, n, whole = _kinds(data, room)
+            layers += n
+            span = where.span(start, end)
+            spans.update((k, *span) for k in kinds)
+            if not whole:
+                unread.add(span)
         plain = _unescape(layer)
         if plain is None:
             return base, spans, layers, unread
@@ -342,4 +400,5 @@ def redact(docs: DataFrame, marker: str = "[REDACTED]") -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of `documents` with the secrets of its text, as `find_secrets` says; `truncated` if a run was not read to the end."""
     return find_secrets(table(spark, sf_dir, "documents").select("doc_id", F.col("text"))).drop("n_layers")

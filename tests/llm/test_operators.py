@@ -1,13 +1,18 @@
 """Each operator against brute force on small tables, and on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import io
+import lzma
 import random
 import re
+import sys
 import tarfile
 import tempfile
+import time
+import zlib
 from urllib.parse import quote
 
 import numpy as np
@@ -222,6 +227,27 @@ def test_cycles_and_bombs_end():
     assert secret_scan.scan(bomb)[3]
 
 
+def test_escaped_bytes_are_read_where_they_are_no_text():
+    escaped = lambda t: "".join(f"%{b:02x}" for b in t.encode())
+    secret = "password=hunter2secret"
+    for inside in ("%FF" + escaped(secret), escaped("é" + secret) + "%fe%ff", escaped(secret) + "%C3"):
+        spans = secret_scan.scan(f"aa {inside} bb")[1]
+        assert len(spans) == 1 and inside[min(s for _, s, _ in spans) - 3 :].startswith(escaped("p"))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        run = quote(pack(b"nothing") + pack(secret.encode())) if pack is gzip.compress else quote(pack(secret.encode()))
+        assert ("assign", 3, 3 + len(run)) in secret_scan.scan(f"aa {run} bb")[1]
+    for hostile in ("%FF", "x%9c", "BZh%41", "%1f%8b", "BZh91AY", "%"):
+        began = time.time()
+        secret_scan.scan(hostile * 40_000)
+        assert time.time() - began < 20
+
+
+def test_a_missing_reader_leaves_the_run_unread(monkeypatch):
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    run = base64.b64encode(b"\x28\xb5\x2f\xfd" + bytes(range(40))).decode()
+    assert secret_scan.scan(f"a {run} b")[3]
+
+
 def test_secret_rows(spark):
     rng = random.Random(2)
     rows = [*odd_rows(rng), (20, f"x {TOKEN} " + "a1" * 12), (21, prose(rng, 20_000) + " " + TOKEN)]
