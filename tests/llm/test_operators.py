@@ -98,8 +98,61 @@ def test_no_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
-def test_broken_markup_stays_linear():
-    html_extract.blocks_of("<a '" * 3000 + "<div class='" + "x" * 50_000)
+def uncovered_by_hand(pages):
+    """Brute force over a host's pages (id, blocks): for each depth every run of so many tokens, with the pages that hold it."""
+    streams = [(i, [(w, k) for k, t in enumerate(blocks) for w in t.split()]) for i, blocks in pages]
+    ids = {i for i, _ in pages}
+    out = []
+    for _, tokens in streams:
+        gone = set()
+        for depth, share in html_extract.RUNS:
+            for at in range(len(tokens) - depth + 1):
+                run = [w for w, _ in tokens[at : at + depth]]
+                holders = {j for j, other in streams if any([w for w, _ in other[x : x + depth]] == run for x in range(len(other) - depth + 1))}
+                if len(holders) >= max(html_extract.MIN_PAGES, share * len(ids)):
+                    gone.update(range(at, at + depth))
+        left = {}
+        for k, (w, block) in enumerate(tokens):
+            if k not in gone:
+                left.setdefault(block, []).append(w)
+        out.append(("\n".join(" ".join(v) for _, v in sorted(left.items())), len(gone)))
+    return out
+
+
+def test_repeated_runs_match_brute_force(spark):
+    rng = random.Random(7)
+    chance, long = [prose(rng, 7) for _ in range(3)], prose(rng, 26)
+    blocks = []
+    for i in range(90):  # phrases of 7 words on few of many pages stay, a run of 26 words on three goes, a menu on all goes
+        own = [prose(rng, 12)]
+        own += ["Home News Sport Weather Contact About Imprint"] if i % 9 else []
+        own += [f"{prose(rng, 4)} {chance[i % 3]} {prose(rng, 4)}"] if i < 9 else []
+        own += [long + " " + prose(rng, 3)] if i in (20, 40, 60) else []
+        rng.shuffle(own)
+        blocks.append((i if i < 80 else 79, own))  # one page many times over
+    rows = [(i, "http://h.org/x", "".join(f"<div>{t}</div>" for t in own)) for i, own in blocks]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = uncovered_by_hand(blocks)
+    assert sorted((r["page_id"], r["text"], r["n_repeated"]) for r in got) == sorted((i, *w) for (i, _), w in zip(blocks, want, strict=True))
+    text = {r["page_id"]: r["text"] for r in got}
+    assert chance[0] in text[0] and long not in text[40] and "Weather" not in text[1]
+
+
+def test_a_page_many_times_over_is_one_page(spark):
+    menu = "Home News Sport Weather Contact About Imprint Help"
+    rows = [(1, "http://h.org/", f"<div>{menu}</div>")] * 5 + [(2, "http://h.org/", f"<div>{menu}</div>")]
+    assert {r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {menu}
+
+
+@pytest.mark.parametrize("part", ["<a '", "<a ", "<![CDATA[", "<!--", "<script>", "<b x=\"", "<a '>'", "</b>", "<a>", "<div><i>", "<p>x</i>", "&amp", "<", "x<y "])
+def test_hostile_pages_take_time_in_proportion(part):
+    spent = []
+    for size in (1 << 20, 1 << 22):
+        page = "<article>" + part * (size // len(part)) + "<div class='" + "x" * 1000
+        began = time.process_time()
+        html_extract.blocks_of(page)
+        spent.append(time.process_time() - began)
+    assert spent[1] < 40 and spent[1] < 10 * spent[0] + 1
 
 
 # --- 2 ----------------------------------------------------------------------------------------
