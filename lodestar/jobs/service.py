@@ -62,7 +62,6 @@ def build(spark: SparkSession, root: str, out: str, corpus: str, settings: Setti
     config = chunking.Config(settings.strategy, settings.size, settings.overlap, settings.min_tokens)
     embed = embedding.embedder(settings.embedder)
     chunks = chunking.chunk_documents(docs, config).withColumn("embedding", embed(F.col("embedding_text")))
-    chunks = chunks.join(docs.select("doc_id", "source", "title", "format"), "doc_id")
     chunks.write.mode("overwrite").parquet(f"{out}/building")  # embedded once; the checks and the copy read it
     done = spark.read.parquet(f"{out}/building")
     width = done.select(F.max(F.size("embedding"))).first()[0]

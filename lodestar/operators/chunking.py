@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import SPACE, chunk_id, content_hash, count_tokens
+from lodestar.functions.text import chunk_id, content_hash, count_tokens
 
 # The separators of recursive splitting, coarse to fine; a piece ends where a match ends.
 SEPARATORS = (r"\n\s*\n", r"\n", r"(?<=[.!?])[\"')\]]?\s+", r"\s+")
@@ -35,24 +35,22 @@ class Config:
 def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     """Windows of `size` tokens, each starting `size - overlap` after the last: adds index, text, start_char, end_char, token_count.
 
-    `docs` needs doc_id and text; text is replaced, other columns are dropped. All is done by
-    built-in functions on one array of tokens with the white space before each: a window is a
-    slice of it, and offsets are sums of the lengths of strides.
+    `docs` needs doc_id and text; text is replaced, other columns are dropped. Each text's tokens are
+    found once and windows cut between their places, so the work is in proportion to the text.
     """
-    step = size - overlap
-    space = SPACE[4:]
-    pieces = F.regexp_extract_all("text", F.lit(rf"(?U)({space}*[^\s\x1c-\x1f]+)"), F.lit(1))
-    arrays = docs.select("doc_id", pieces.alias("p")).where(F.size("p") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("p") - overlap - 1, F.lit(0)), F.lit(step))
-    lead = lambda s: F.length(s) - F.length(F.regexp_replace(s, rf"\A{space}+", ""))
-    cut = lambda i: F.array_join(F.slice("p", i + 1, size), "")
-    each = F.transform(starts, lambda i: F.struct(cut(i).alias("raw"), F.length(F.array_join(F.slice("p", i + 1, step), "")).alias("stride"), F.least(F.size("p") - i, F.lit(size)).alias("n")))
-    windows = arrays.select("doc_id", each.alias("w"))
-    rows = windows.select("doc_id", F.posexplode("w").alias("index", "x"), F.col("w.stride").alias("strides"))
-    before = F.aggregate(F.slice("strides", 1, F.col("index")), F.lit(0), lambda a, x: a + x)
-    rows = rows.select("doc_id", F.col("index").cast("long").alias("index"), "x.raw", F.col("x.n").cast("long").alias("token_count"), (before + lead(F.col("x.raw"))).cast("long").alias("start_char"))
-    text = F.regexp_replace("raw", rf"\A{space}+", "")
-    return rows.select("doc_id", "index", text.alias("text"), "start_char", (F.col("start_char") + F.length(text)).alias("end_char"), "token_count")
+    Config("fixed", size, overlap, 0)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                tokens = _Tokens(text or "")
+                spans = tokens.windows(0, len(text or ""), size, overlap)
+                rows += [(doc_id, i, text[s:e], s, e, min(size, len(tokens.spans) - i * (size - overlap))) for i, (s, e) in enumerate(spans)]
+            yield pd.DataFrame(rows, columns=["doc_id", "index", "text", "start_char", "end_char", "token_count"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, index long, text string, start_char long, end_char long, token_count long")
 
 
 class _Tokens:
@@ -148,6 +146,8 @@ def _shared_path(a: list[str], b: list[str]) -> list[str]:
     return a[:n]
 
 
+#: Columns of documents that their chunks carry, where a table has them.
+CARRIED = ("source", "title", "format", "metadata")
 CHUNKS = "doc_id string, index long, text string, start_char long, end_char long, token_count long, heading_path array<string>, page int, page_end int, context_header string"
 
 
@@ -163,7 +163,8 @@ def chunk_documents(docs: DataFrame, config: Config | None = None) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
-            for doc_id, title, text, sections in zip(pdf["doc_id"], pdf["title"], pdf["text"], pdf["sections"], strict=True):
+            own = [pdf["content_hash"], *(pdf[f"doc_{c}"] for c in carried)]
+            for doc_id, title, text, sections, *more in zip(pdf["doc_id"], pdf["title"], pdf["text"], pdf["sections"], *own, strict=True):
                 if not text:
                     continue
                 sections = [] if sections is None else list(sections)
@@ -180,15 +181,16 @@ def chunk_documents(docs: DataFrame, config: Config | None = None) -> DataFrame:
                     end = last["page"] if last is not None and last["page"] is not None else page
                     names = [title or "", *path]
                     header = " > ".join(x for x in (names[1:] if path and names[0] == path[0] else names) if x) if config.headings else ""
-                    rows.append((doc_id, index, text[s:e], s, e, n, path, page, end, header))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+                    rows.append((doc_id, index, text[s:e], s, e, n, path, page, end, header, *more))
+            out = pd.DataFrame(rows, columns=[*(c.split()[0] for c in CHUNKS.split(", ")), "content_hash", *carried])
             yield out.astype({"page": "Int64", "page_end": "Int64"})
 
-    chunks = docs.select("doc_id", "title", "text", "sections").mapInPandas(run, CHUNKS)
-    digests = docs.select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+    carried = [c for c in CARRIED if c in docs.columns]
+    digested = docs.select("doc_id", "title", "text", "sections", content_hash(F.col("text")).alias("content_hash"), *[F.col(c).alias(f"doc_{c}") for c in carried])
+    extra = "".join(f", {c} {dict(docs.dtypes)[c]}" for c in carried)
+    chunks = digested.mapInPandas(run, f"{CHUNKS}, content_hash string{extra}")
     embedded = F.when(F.col("context_header") != "", F.concat_ws("\n\n", "context_header", "text")).otherwise(F.col("text"))
-    named = chunks.join(digests, "doc_id")
-    return named.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("content_hash"), F.col("start_char"), F.col("end_char"))).withColumn("embedding_text", embedded)
+    return chunks.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("content_hash"), F.col("start_char"), F.col("end_char"))).withColumn("embedding_text", embedded)
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

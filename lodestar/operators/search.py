@@ -1,8 +1,10 @@
 """Lexical and dense retrieval for whole tables of queries.
 
-Statistics are always those of the whole corpus; filters come before ranking. Ranks are made by a
-window over each query, which Spark cuts down to the first k of every partition before its
-shuffle. Texts never travel with scores: join them to the few hits afterwards.
+Statistics are always those of the whole corpus; filters come before ranking. Both searches have
+the same shape: what is known of the queries is broadcast (counted first, in blocks of bounded
+size), each task scores the rows it reads and keeps its own first k of each query, and only those
+are shuffled. No posting and no vector is. Texts never travel with scores: join them to the few
+hits afterwards.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +23,9 @@ from lodestar.functions.text import bm25_tokens
 K1, B = 1.2, 0.75
 DIGITS = 6
 #: Distinct query terms, or query vectors, that may be broadcast; they are counted first.
-BROADCAST_TERMS, BROADCAST_VECTORS = 1_000_000, 100_000
+BROADCAST_TERMS, BROADCAST_VECTORS = 1_000_000, 20_000
+#: Scores (rows times queries, of 8 bytes) that a task holds at once.
+CELLS = 8_000_000
 
 
 def bounded(df: DataFrame, limit: int) -> DataFrame:
@@ -85,12 +91,148 @@ def top_k(scores: DataFrame, k: int, order: Sequence[Column] | None = None, digi
     return rounded.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
+class _First:
+    """The first k rows of each query that a task has met."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, []
+
+    def add(self, scores: np.ndarray, chunks: np.ndarray, met: np.ndarray | None = None) -> None:
+        """scores: queries x rows, rounded; met: those that count."""
+        scores = np.where(met, scores, -np.inf) if met is not None else scores
+        if scores.shape[1] > self.k:  # what reaches the k-th, ties too
+            kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k, None]
+            query, row = np.nonzero((scores >= kth) & (scores > -np.inf))
+        else:
+            query, row = np.nonzero(scores > -np.inf)
+        self.held.append(pd.DataFrame({"query": query, "chunk_id": chunks[row], "score": scores[query, row]}))
+        if len(self.held) > 8:
+            self.held = [self.best()]
+
+    def best(self) -> pd.DataFrame:
+        if not self.held:
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "chunk_id": [], "score": []})
+        rows = pd.concat(self.held).sort_values(["query", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
+        return rows.groupby("query", sort=False).head(self.k)
+
+    def as_arrow(self, ids: list, schema: pa.Schema) -> pa.RecordBatch:
+        rows = self.best()
+        return pa.RecordBatch.from_arrays([pa.array([ids[q] for q in rows["query"]], schema.field(0).type), pa.array(rows["chunk_id"].to_list(), schema.field(1).type), pa.array(rows["score"].to_numpy(float), pa.float64())], schema=schema)
+
+
+def _hits_schema(queries: DataFrame, chunks: DataFrame) -> tuple[str, pa.Schema]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
+    return f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double", pa.schema([("query_id", to_arrow_type(kinds[0])), ("chunk_id", to_arrow_type(kinds[1])), ("score", pa.float64())])
+
+
+def _encoded(batch: pa.RecordBatch, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(row, term, occurrences) of the query terms in a batch with `tokens`, by row and term, and the number of rows."""
+    tokens = batch.column("tokens")
+    row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
+    term = pc.index_in(pc.list_flatten(tokens), value_set=vocabulary)
+    known = term.is_valid().to_numpy(zero_copy_only=False)
+    key, count = np.unique(row[known].astype(np.int64) * len(vocabulary) + term.drop_null().to_numpy(), return_counts=True)
+    return key // len(vocabulary), key % len(vocabulary), count, batch.num_rows
+
+
+def _lexical_stats(tokens: DataFrame, vocabulary: pa.Array) -> tuple[int, float, np.ndarray]:
+    """(chunks, mean length, how many chunks hold each term): one narrow pass, a row for each task and term."""
+    shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, length = np.zeros(len(shared.value), np.int64), 0, 0
+        for batch in it:
+            _, term, _, rows = _encoded(batch, shared.value)
+            held += np.bincount(term, minlength=len(held))
+            n, length = n + rows, length + (pc.sum(batch.column("length")).as_py() or 0)
+        term = np.flatnonzero(held)
+        yield pa.RecordBatch.from_pydict({"term": np.concatenate([[-2, -1], term]), "n": np.concatenate([[n, length], held[term]])})
+
+    rows = tokens.select("tokens", "length").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary), np.int64)
+    total = dict(zip(rows["term"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    n, length = total.pop(-2, 0), total.pop(-1, 0)
+    df[list(total)] = list(total.values())
+    return n, (length / n if n and length else 1.0), df
+
+
 def bm25_search(tokens: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 top k; `keep` filters chunks by the columns of `tokens`, after the statistics and before the ranking."""
-    scores = bm25_scores(tokens, queries, k1, b)
-    if keep is not None:
-        scores = scores.join(tokens.where(keep).select("chunk_id"), "chunk_id", "left_semi")
-    return top_k(scores, k)
+    """BM25 top k: (query_id, chunk_id, score, rank).
+
+    `tokens` (chunk_id, tokens, length, what `keep` names), `queries` (query_id, text). `keep`
+    filters chunks after the statistics and before the ranking. The first pass counts the chunks of
+    each query term, the second scores each row's own tokens; queries go in blocks of at most
+    BROADCAST_VECTORS. Past BROADCAST_TERMS terms both sides are joined on the term instead.
+    """
+    if k < 1:
+        raise ValueError("k must be positive")
+    if not (k1 >= 0 and 0 <= b <= 1):
+        raise ValueError("k1 must be at least 0 and b in [0, 1]")
+    terms = query_terms(queries)
+    if terms.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
+        scores = bm25_scores(tokens, queries, k1, b)
+        return top_k(scores.join(tokens.where(keep).select("chunk_id"), "chunk_id", "left_semi") if keep is not None else scores, k)
+    asked = terms.toArrow()
+    vocabulary = asked["term"].unique()
+    n, mean, df = _lexical_stats(tokens, vocabulary)
+    weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    term_of = pc.index_in(asked["term"], value_set=vocabulary).to_numpy() if asked.num_rows else np.zeros(0, np.int64)
+    names, query_of = np.unique(np.array(asked["query_id"].to_pylist(), object), return_inverse=True) if asked.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+    schema, arrow = _hits_schema(queries, tokens)
+    kept = (tokens.where(keep) if keep is not None else tokens).select("chunk_id", "tokens", "length")
+    parts = []
+    for first in range(0, max(1, len(names)), BROADCAST_VECTORS):
+        own = np.flatnonzero((query_of >= first) & (query_of < first + BROADCAST_VECTORS))
+        own = own[np.argsort(term_of[own], kind="stable")]
+        ids = list(names[first : first + BROADCAST_VECTORS])
+        starts = np.searchsorted(term_of[own], np.arange(len(vocabulary) + 1))
+        shared = tokens.sparkSession.sparkContext.broadcast((vocabulary, weight, ids, query_of[own] - first, starts))
+
+        def score(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            vocabulary, weight, ids, query, starts = shared.value
+            best, step = _First(k), max(1, CELLS // max(1, len(ids)))
+            for whole in it:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    row, term, tf, rows = _encoded(batch, vocabulary)
+                    length = batch.column("length").to_numpy()
+                    gain = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
+                    times = starts[term + 1] - starts[term]  # the queries that ask for the term
+                    place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[term], times)
+                    cell = query[place] * rows + np.repeat(row, times)
+                    scores = np.bincount(cell, np.repeat(gain, times), len(ids) * rows).reshape(len(ids), rows)
+                    met = np.bincount(cell, minlength=len(ids) * rows).reshape(len(ids), rows) > 0
+                    best.add(np.round(scores, DIGITS), np.array(batch.column("chunk_id").to_pylist(), object), met)
+            yield best.as_arrow(ids, arrow)
+
+        parts.append(kept.mapInArrow(score, schema))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return top_k(both, k)
+
+
+def matches(column: Column, value: object, is_list: bool = False) -> Column:
+    """Metadata filter: equality, any of a list, or overlap where the field is a list; a missing field never matches, nor does a value of another kind (2 is not "2")."""
+    values = list(value) if isinstance(value, (list, tuple, set)) else [value]
+    kind = F.regexp_extract(F.typeof(column), "^(?:array<)?([a-z]+)", 1)
+    text = kind.isin("string", "varchar", "char")
+    truth = kind == "boolean"
+    words = [v for v in values if isinstance(v, str)]
+    bools = [v for v in values if isinstance(v, bool)]
+    numbers = [v for v in values if not isinstance(v, (str, bool))]
+
+    def among(own: list, fits: Column, sql: str) -> Column:
+        if not own:
+            return F.lit(False)
+        listed = F.array(*[F.lit(v).cast(sql) for v in own])
+        # Cast only where the kinds agree: elsewhere the condition before it decides.
+        hit = F.arrays_overlap(F.transform(column, lambda x: x.try_cast(sql)), listed) if is_list else F.array_contains(listed, column.try_cast(sql))
+        return fits & F.coalesce(hit, F.lit(False))
+
+    return among(words, text, "string") | among(bools, truth, "boolean") | among(numbers, ~text & ~truth, "double")
 
 
 def matches(column: Column, value: object, is_list: bool = False) -> Column:
@@ -120,42 +262,34 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, query_block: in
 
     `vectors` (chunk_id, embedding), filtered beforehand; `queries` (query_id, embedding). Zero and
     null query vectors find nothing. The queries are broadcast in blocks of at most `query_block`
-    vectors; each task multiplies its vectors with the block and keeps its own first k of each
-    query, so what is shuffled is k rows a query and task.
+    vectors; each task multiplies so many of its vectors with the block that CELLS scores are held,
+    and keeps its own first k of each query, so what is shuffled is k rows a query and task.
     """
     if k < 1:
         raise ValueError("k must be positive")
     spark = vectors.sparkSession
-    usable = queries.where("embedding is not null and query_id is not null").where(norm(F.col("embedding")) > 0).select("query_id", "embedding")
+    usable = queries.where("embedding is not null and query_id is not null").where(norm(F.col("embedding")) > 0).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     blocks = max(1, -(-usable.count() // query_block))
+    schema, arrow = _hits_schema(queries, vectors)
     parts = []
     for block in range(blocks):
         own = usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else usable
-        rows = [(r[0], r[1]) for r in own.toLocalIterator()]
-        ids = [r[0] for r in rows]
-        matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if rows else matrix))
+        rows = own.toArrow()  # at most about query_block vectors
+        matrix = pc.list_flatten(rows["embedding"]).to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 0))
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_pylist(), matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if rows.num_rows else matrix))
 
-        def score(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def score(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             ids, matrix = shared.value
-            for pdf in it:
-                if not len(ids) or not len(pdf):
-                    continue
-                x = np.stack(pdf["embedding"].to_list()).astype(np.float64)
-                size = np.linalg.norm(x, axis=1, keepdims=True)
-                scores = np.round(matrix @ (x / np.where(size > 0, size, 1)).T, DIGITS)
-                chunk = pdf["chunk_id"].to_numpy()
-                out = []
-                for q, row in enumerate(scores):
-                    kth = np.partition(row, -k)[-k] if len(row) > k else row.min()
-                    at = np.flatnonzero(row >= kth)  # all ties with the k-th
-                    at = at[np.lexsort((chunk[at], -row[at]))][:k]
-                    out.append(pd.DataFrame({"query_id": ids[q], "chunk_id": chunk[at], "score": row[at]}))
-                yield pd.concat(out)
-
-        kind = vectors.schema["chunk_id"].dataType.simpleString()
-        asked = queries.schema["query_id"].dataType.simpleString()
-        parts.append(vectors.where("embedding is not null").select("chunk_id", "embedding").mapInPandas(score, f"query_id {asked}, chunk_id {kind}, score double"))
+            best, step = _First(k), max(1, CELLS // max(1, len(ids)))
+            for whole in it if ids else ():
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    x = pc.list_flatten(batch.column("embedding")).to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+                    size = np.linalg.norm(x, axis=1, keepdims=True)
+                    best.add(np.round(matrix @ (x / np.where(size > 0, size, 1)).T, DIGITS), np.array(batch.column("chunk_id").to_pylist(), object))
+            yield best.as_arrow(ids, arrow)
+
+        parts.append(vectors.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(score, schema))
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
