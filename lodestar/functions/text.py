@@ -107,6 +107,31 @@ def dedupe_key(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(fold(sentence), r"\s+", " "))
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("sentence", T.StringType())]))
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+
+
+@F.pandas_udf(SPANS)
+def sentence_spans(text: pd.Series, with_headings: pd.Series) -> pd.Series:
+    """Sentences with their exact places, trimmed, none empty; where `with_headings` is true, # heading lines end a sentence and belong to none."""
+    from lodestar.sources.files import headings
+
+    def spans(text: str, marked: bool) -> list[dict]:
+        # Sentences are what is left between the cuts: white space after their ends, and heading lines.
+        cuts = [m.span() for m in _SENTENCE_END.finditer(text)]
+        cuts += [(at, (text + "\n").index("\n", at)) for at, _, _ in headings(text)] if marked else []
+        out, at = [], 0
+        for cut, after in [*sorted(cuts), (len(text), len(text))]:
+            words = text[at:cut]
+            if inner := words.strip():
+                first = at + words.index(inner)
+                out.append({"start_char": first, "end_char": first + len(inner), "sentence": inner})
+            at = max(at, after)
+        return out
+
+    return pd.Series([spans(t, bool(m)) if t is not None else None for t, m in zip(text, with_headings, strict=True)])
+
+
 def sentences(text: Column) -> Column:
     """Array of sentences of plain text: cut after . ! ? and white space, trimmed, none empty."""
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
@@ -120,6 +145,14 @@ def locate_quote(quote: Column, text: Column) -> Column:
     return F.nullif(F.when(exact > 0, exact).otherwise(F.coalesce(loose, F.lit(0))), F.lit(0)) - 1
 
 
+def reply_content(body: Column) -> Column:
+    """The message of a chat service's response (JSON {choices: [{message: {content}}]}, maybe inside {data: ...}); null where it has none."""
+    whole = F.try_parse_json(body)
+    inner = F.coalesce(F.try_variant_get(whole, "$.data", "variant"), whole)
+    found = F.try_variant_get(inner, "$.choices[0].message.content", "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
+
+
 def parse_reply(content: Column) -> Column:
     """A model's reply (JSON, maybe in a code fence or with words around it) as VARIANT; null if there is none."""
     fenced = F.regexp_extract(content, r"(?s)```(?:json)?\s*(.*?)```", 1)

@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import answer_tokens, dedupe_key, parse_reply, sentences
+from lodestar.functions.text import SPACE, answer_tokens, dedupe_key, locate_quote, parse_reply, sentence_spans
 
 MAX_SENTENCES = 5
 MIN_QUOTE = 20
 
 
+#: Formats whose text has # heading lines.
+WITH_HEADINGS = ("markdown", "html")
+#: What a citation says of its chunk, and the types; null where a table of chunks has no such column.
+PROVENANCE = {"doc_id": "string", "source": "string", "content_hash": "string", "heading_path": "array<string>", "page": "int", "page_end": "int"}
+
+
+def _known(df: DataFrame, name: str, kind: str, default: object = None) -> Column:
+    return F.coalesce(F.col(name).cast(kind), F.lit(default).cast(kind)) if name in df.columns else F.lit(default).cast(kind)
+
+
 def scored_sentences(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, chunk_id, rank, offset, sentence, score) of sentences that share a word with the query.
 
-    `queries` (query_id, text), `hits` (query_id, chunk_id, rank, text). The score is the share of
-    the query's words that the sentence holds.
+    `queries` (query_id, text), `hits` (query_id, chunk_id, rank, text, format if there is one). The
+    score is the share of the query's words that the sentence holds, the offset the character of
+    the chunk's text where it begins. Heading lines of WITH_HEADINGS formats are no sentences.
     """
     asked = queries.select("query_id", answer_tokens(F.col("text")).alias("asked")).where(F.size("asked") > 0)
-    parts = hits.select("query_id", "chunk_id", "rank", F.posexplode(sentences(F.col("text"))).alias("offset", "sentence"))
+    marked = _known(hits, "format", "string", "").isin(*WITH_HEADINGS)
+    spans = sentence_spans(F.col("text"), marked)
+    parts = hits.select("query_id", "chunk_id", "rank", F.explode(spans).alias("x")).select("query_id", "chunk_id", "rank", F.col("x.start_char").alias("offset"), "x.sentence")
     both = parts.join(asked, "query_id")
     shared = F.size(F.array_intersect("asked", answer_tokens(F.col("sentence"))))
-    return both.withColumn("shared", shared).where("shared > 0").select("query_id", "chunk_id", "rank", F.col("offset").cast("long").alias("offset"), "sentence", (F.col("shared") / F.size("asked")).alias("score"))
+    return both.withColumn("shared", shared).where("shared > 0").select("query_id", "chunk_id", "rank", "offset", "sentence", (F.col("shared") / F.size("asked")).alias("score"))
 
 
 def cited_sentences(queries: DataFrame, hits: DataFrame, most: int = MAX_SENTENCES) -> DataFrame:
@@ -44,6 +57,62 @@ def extractive_answers(queries: DataFrame, hits: DataFrame, most: int = MAX_SENT
     return asked.select("query_id", F.coalesce(F.array_join("s.sentence", " "), F.lit("")).alias("answer"), F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_citations"), F.col("s").isNull().alias("abstained"))
 
 
+def citations(quoted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """`quoted` (query_id, place, chunk_id, offset, sentence) as citations: PROVENANCE of the chunk, quote, start_char and end_char in the document."""
+    base = _known(chunks, "start_char", "long", 0)
+    own = chunks.select("chunk_id", base.alias("base"), *[_known(chunks, c, kind).alias(c) for c, kind in PROVENANCE.items()])
+    start = F.col("base") + F.col("offset")
+    return quoted.join(own, "chunk_id").select("query_id", "place", "chunk_id", *PROVENANCE, F.col("sentence").alias("quote"), start.alias("start_char"), (start + F.length("sentence")).alias("end_char"))
+
+
+def reply_answers(replies: DataFrame) -> DataFrame:
+    """(query_id, valid, answer, abstained) of model replies (query_id, content): null answer and abstention where a reply is not valid.
+
+    Valid is JSON with a boolean `abstained` (or none), a string `answer` (or none) and a list of
+    `citations` (or none; not looked at in abstentions). A blank answer is an abstention.
+    """
+    return _answers(replies).drop("v")
+
+
+def _answers(replies: DataFrame) -> DataFrame:
+    parsed = replies.select("query_id", F.explode(F.array(parse_reply(F.col("content")))).alias("v"))  # exploded, so that it is parsed once
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get("v", path, "variant")), F.lit("absent"))
+    text = F.regexp_replace(F.coalesce(F.try_variant_get("v", "$.answer", "string"), F.lit("")), rf"\A{SPACE}+|{SPACE}+\z", "")
+    silent = F.coalesce(F.try_variant_get("v", "$.abstained", "boolean"), F.lit(False)) | (text == "")
+    listed = kind("$.citations")
+    valid = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)) & kind("$.abstained").isin("BOOLEAN", "absent") & kind("$.answer").isin("STRING", "absent") & (silent | listed.startswith("ARRAY") | (listed == "absent"))
+    return parsed.select("query_id", valid.alias("valid"), F.when(valid, F.when(silent, "").otherwise(text)).alias("answer"), F.when(valid, silent).alias("abstained"), "v")
+
+
+def grounded_citations(replies: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Citations of the valid replies that do not abstain and that stand in their contexts, in their order.
+
+    `replies` (query_id, content), `contexts` (query_id, context, chunk_id, text, start_char and
+    PROVENANCE if there). An entry needs a whole number that names a context and a quote found in
+    its text (exactly, or with folded case where folding keeps lengths) that is not blank; the
+    others are dropped. The quote is the context's own text between the two offsets.
+    """
+    given = _answers(replies).where("valid and not abstained")
+    each = given.select("query_id", F.posexplode(F.try_variant_get("v", "$.citations", "array<variant>")).alias("place", "x"))
+    is_kind = lambda path, sql: F.coalesce(F.schema_of_variant(F.try_variant_get("x", path, "variant")) == sql, F.lit(False))
+    named = each.where(is_kind("$.chunk_index", "BIGINT") & is_kind("$.quote", "STRING"))
+    named = named.select("query_id", F.col("place").cast("long").alias("place"), F.try_variant_get("x", "$.chunk_index", "long").alias("context"), F.try_variant_get("x", "$.quote", "string").alias("said")).where("said <> ''")
+    own = contexts.select("query_id", F.col("context").cast("long").alias("context"), "chunk_id", "text", _known(contexts, "start_char", "long", 0).alias("base"), *[_known(contexts, c, kind).alias(c) for c, kind in PROVENANCE.items()])
+    met = named.join(own, ["query_id", "context"]).withColumn("at", locate_quote(F.col("said"), F.col("text"))).where("at is not null")
+    met = met.withColumn("quote", F.substring("text", F.col("at") + 1, F.length("said"))).where(F.regexp_replace("quote", SPACE, "") != "")
+    start = (F.col("base") + F.col("at")).cast("long")
+    return met.select("query_id", "place", "chunk_id", *PROVENANCE, "quote", start.alias("start_char"), (start + F.length("quote")).alias("end_char"))
+
+
+def citations_consistent(cited: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(query_id, consistent) of every query with citations (query_id, chunk_id, quote, start_char, end_char): whether each is, between its offsets, the text of a context (query_id, chunk_id, text, start_char)."""
+    own = contexts.select("query_id", "chunk_id", "text", _known(contexts, "start_char", "long", 0).alias("base"))
+    met = cited.join(own, ["query_id", "chunk_id"], "left")
+    start, end = F.col("start_char") - F.col("base"), F.col("end_char") - F.col("base")
+    good = (start >= 0) & (end <= F.length("text")) & (F.substring("text", (start + 1).cast("int"), (end - start).cast("int")) == F.col("quote"))
+    return met.groupBy("query_id").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("consistent"))
+
+
 def raw_citations(replies: DataFrame) -> DataFrame:
     """(query_id, parse_ok, abstained, place, chunk_index, quote) of `replies` (query_id, content).
 

@@ -235,13 +235,6 @@ def matches(column: Column, value: object, is_list: bool = False) -> Column:
     return among(words, text, "string") | among(bools, truth, "boolean") | among(numbers, ~text & ~truth, "double")
 
 
-def matches(column: Column, value: object, is_list: bool = False) -> Column:
-    """Metadata filter: equality, any of a list, or overlap where the field is a list; a missing field never matches."""
-    values = list(value) if isinstance(value, (list, tuple, set)) else [value]
-    hit = F.arrays_overlap(column, F.array(*map(F.lit, values))) if is_list else column.isin(*values)
-    return F.coalesce(hit, F.lit(False))
-
-
 def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 

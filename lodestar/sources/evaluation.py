@@ -81,3 +81,44 @@ def read_replies(spark: SparkSession, path: str) -> DataFrame:
     if rows.groupBy("key").agg(F.countDistinct("content").alias("n")).where("n > 1").limit(1).count():
         raise BadSet(f"{path}: a key with two contents")
     return rows.select("key", "content").distinct()
+
+
+DOCUMENT_FILE = "doc_id string, corpus_id string, source string, title string, format string, text string, content_hash string, metadata string, sections array<struct<start_char:int,end_char:int,heading_path:array<string>,page:int>>"
+
+
+def _once(docs: DataFrame, where: str) -> DataFrame:
+    twice = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").take(1)
+    if twice:
+        raise BadSet(f"{where}: doc_id {twice[0]['doc_id']!r} is missing or there twice")
+    return docs
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Documents as JSON lines; a doc_id that is missing or there twice is an error."""
+    _once(docs, path).write.mode("overwrite").json(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents from JSON lines, refused where a doc_id is missing or there twice, or a text does not have its hash."""
+    docs = _once(_json(spark, path, DOCUMENT_FILE), path)
+    changed = docs.where(content_hash(F.col("text")) != F.col("content_hash")).take(1)
+    if changed:
+        raise BadSet(f"{path}: the text of {changed[0]['doc_id']!r} is not what was hashed")
+    return docs
+
+
+def write_replies(replies: DataFrame, path: str) -> None:
+    """Entries (key, model, content) added to a reply cache."""
+    replies.select(F.lit(1).alias("schema_version"), "key", "model", "content").write.mode("append").json(path)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(mode, query_id, metric, value) of a per-query sidecar file; a mode that lacks one of its query_ids is an error."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    if whole.where("v is null or try_variant_get(v, '$.schema_version', 'int') is distinct from 1").limit(1).count():
+        raise BadSet(f"{path}: another format")
+    modes = whole.select(F.try_variant_get("v", "$.query_ids", "array<string>").alias("ids"), F.explode(F.try_variant_get("v", "$.modes", "map<string,map<string,map<string,double>>>")).alias("mode", "scores"))
+    short = modes.where(F.array_sort(F.map_keys("scores")) != F.array_sort("ids")).take(1)
+    if short:
+        raise BadSet(f"{path}: mode {short[0]['mode']!r} was not scored on the file's queries")
+    return modes.select("mode", F.explode("scores").alias("query_id", "own")).select("mode", "query_id", F.explode("own").alias("metric", "value"))
