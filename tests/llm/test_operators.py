@@ -538,6 +538,39 @@ def test_bad_hosts_are_blocked(spark):
     assert got == {("bad.site.org", "block"), ("good.site.org", "allow")}
 
 
+def test_prior_strength_is_that_of_the_data(spark):
+    rng = np.random.default_rng(3)
+
+    def estimated(strong):
+        rows = []
+        for p in range(4):
+            mean = 0.2 + 0.2 * p
+            for u in range(300):
+                n = int(rng.integers(5, 60))
+                rows.append((f"p{p}", n, int(rng.binomial(n, rng.beta(strong * mean, strong * (1 - mean))))))
+        return url_filter.strength(spark.createDataFrame(rows, "parent string, n long, g long"), "parent", "s").first()["s"]
+
+    for strong in (3.0, 10.0, 60.0):
+        assert estimated(strong) == pytest.approx(strong, rel=0.35)
+    few = spark.createDataFrame([("p", 5, 2)], "parent string, n long, g long")
+    assert url_filter.strength(few, "parent", "s").first()["s"] == url_filter.STRENGTH == url_filter.strength(few.limit(0), "parent", "s").first()["s"]
+
+
+def test_upper_bound_is_the_beta_quantile(spark):
+    rng = np.random.default_rng(5)
+    cases = [(20, 3, 0.5, 8.0), (200, 150, 0.7, 30.0), (5, 5, 0.6, 8.0), (0, 0, 0.4, 8.0), (1000, 20, 0.3, 50.0)]
+    df = spark.createDataFrame(cases, "n int, g int, prior double, s double").select("*", url_filter.upper_bound(*map(__import__("pyspark.sql.functions", fromlist=["col"]).col, ("n", "g", "prior", "s"))).alias("u"))
+    for r in df.collect():
+        draws = rng.beta(r["g"] + r["s"] * r["prior"], r["n"] - r["g"] + r["s"] * (1 - r["prior"]), 400_000)
+        assert r["u"] == pytest.approx(np.quantile(draws, 0.95), abs=0.006)
+
+
+def test_ports_and_repeated_pages(spark):
+    pages = [(1, "http://a.org:80/"), (1, "http://a.org:80/"), (2, "http://a.org/"), (3, "http://10.0.0.1/x")]
+    got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(1, 0)] * 3, "page_id long, good int"), ()).collect()
+    assert sorted((r["page_id"], r["host"]) for r in got) == [(1, "a.org:80"), (1, "a.org:80"), (2, "a.org"), (3, "10.0.0.1")]
+
+
 # --- 7 ----------------------------------------------------------------------------------------
 
 
