@@ -122,7 +122,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and vectors without
     label, link with nothing. Only vectors of one label and one length are compared. Repeated rows
-    of a vec_id count once in others' links. Other columns are ignored.
+    of a vec_id count once in others' links. Labels may be of any type, components floats or
+    doubles. Other columns are ignored.
     """
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
@@ -139,7 +140,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
                 part = pdf[sizes == dim]
                 yield part.assign(codes=list(codes(unit(list(part["embedding"])), bits, tables)))
 
-    coded = stored(classes.select("cid", "label", "w", "embedding").mapInPandas(hashed, "cid long, label int, w long, embedding array<float>, codes array<int>"), "coded")
+    kind = dict(classes.dtypes)
+    coded = stored(classes.select("cid", "label", "w", "embedding").mapInPandas(hashed, f"cid long, label {kind['label']}, w long, embedding {kind['embedding']}, codes array<int>"), "coded")
     spots = coded.select("cid", "label", F.size("embedding").alias("dim"), F.posexplode("codes").alias("t", "code"))
     spots = spots.select("cid", "t", F.xxhash64("label", "dim", "t", "code").alias("key"))
     full = spots.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -160,4 +162,17 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of `embeddings` with its links and component, as `near_duplicates` says."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS s FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT DISTINCT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.s * b.s) >= {COSINE}),
+r AS (SELECT x AS a, x AS b FROM l UNION SELECT r.a, l.y FROM r JOIN l ON r.b = l.x),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1),
+k AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN k USING (vec_id) LEFT JOIN c USING (vec_id)
+"""

@@ -333,4 +333,21 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of `documents` with the size of its set and its component, as `components` says."""
     return components(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, w[i:i + 2] AS g FROM (SELECT rid, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+m AS (SELECT rid, n, hash(list_sort(list(hash(g)))) AS h FROM s JOIN n USING (rid) GROUP BY ALL),
+o AS (SELECT h, min(rid) AS rid FROM m GROUP BY 1),
+t AS (SELECT s.rid, hash(g) AS g FROM s JOIN o USING (rid)),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n AS a ON a.rid = x JOIN n AS b ON b.rid = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l UNION SELECT m.rid, o.rid FROM m JOIN o USING (h) WHERE m.rid <> o.rid UNION SELECT o.rid, m.rid FROM m JOIN o USING (h) WHERE m.rid <> o.rid),
+r AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+c AS (SELECT a AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = b GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)
+"""

@@ -8,8 +8,8 @@ QUERIES = {
     "op1_html_extraction": (html_extract.op1_html_extraction, None),
     "op10_decontamination": (decontaminate.op10_decontamination, decontaminate.OP10_SQL),
     "op2_secret_scan": (secret_scan.op2_secret_scan, None),
-    "op3_jaccard_join": (jaccard_join.op3_jaccard_join, None),
-    "op5_embedding_dedup": (embed_dedup.op5_embedding_dedup, None),
+    "op3_jaccard_join": (jaccard_join.op3_jaccard_join, jaccard_join.OP3_SQL),
+    "op5_embedding_dedup": (embed_dedup.op5_embedding_dedup, embed_dedup.OP5_SQL),
     "op6_url_filter": (url_filter.op6_url_filter, url_filter.OP6_SQL),
     "op7_quality_classifier": (quality_mil.op7_quality_classifier, None),
     "op9_language_id": (language_id.op9_language_id, None),

@@ -511,6 +511,15 @@ def test_embedding_links_match_brute_force(spark, monkeypatch):
     assert embed_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_doubles_and_labels_of_any_type(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((6, 16))
+    rows = [(10 * i + j, (base[i] + 0.01 * j * rng.standard_normal(16)).tolist(), f"label {i % 2}") for i in range(6) for j in range(3)] + [(99, base[0].tolist(), None), (100, [1e-300] * 16, "label 0")]
+    for kind in ("double", "float"):
+        got = {r["vec_id"]: (r["component_id"], r["n_links"]) for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label string")).collect()}
+        assert all(got[10 * i + j] == (10 * i, 2) for i in range(6) for j in range(3)) and got[99] == (99, 0)
+
+
 # --- 6 ----------------------------------------------------------------------------------------
 
 
