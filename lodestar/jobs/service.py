@@ -9,8 +9,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.jobs.options import Request, Settings, parse_filters, parse_weights
+from lodestar.jobs.options import MODES, Request, Settings, parse_filters, parse_weights
 from lodestar.operators import answer, chunking, embedding, fusion, index, search
+from lodestar.sources.evaluation import write_documents
 from lodestar.sources.files import ingest
 
 
@@ -27,13 +28,16 @@ class Index:
         chunks, _, manifest = index.load(spark, path)
         return cls(chunks, manifest["embedder"], **manifest["bm25"])
 
-    def search(self, queries: DataFrame, options: Request) -> DataFrame:
-        """Hits of all `queries` (query_id, text) under the options (their own query is not used)."""
-        keep = F.lit(True)
+    def search(self, queries: DataFrame, options: Request, depth: int | None = None) -> DataFrame:
+        """Hits of all `queries` (query_id, text) under the options (their own query is not used); `depth` hits of each in place of the options' k. A filter on a field that no chunk has finds nothing."""
+        keep, k = F.lit(True), depth or options.k
         for name, value in options.filters.items():
+            if name not in self.chunks.columns:
+                keep = F.lit(False)
+                continue
             keep = keep & search.matches(F.col(name), value, dict(self.chunks.dtypes)[name].startswith("array"))
         asked = queries.where("trim(text) <> ''")
-        pool = max(options.k, options.candidates or fusion.CANDIDATES) if options.mode == "hybrid" or options.rerank else options.k
+        pool = max(k, options.candidates or fusion.CANDIDATES) if options.mode == "hybrid" or options.rerank else k
         lists = {}
         if options.mode != "lexical":
             lists["dense"] = search.dense_search(self.chunks.where(keep), asked.select("query_id", self.embed(F.col("text")).alias("embedding")), pool)
@@ -42,14 +46,26 @@ class Index:
         if options.mode != "hybrid":
             hits = lists[options.mode].withColumn("retriever", F.lit(options.mode))
         elif options.fusion == "weighted":
-            hits = fusion.weighted_score_fusion(lists, pool if options.rerank else options.k, options.weights)
+            hits = fusion.weighted_score_fusion(lists, pool if options.rerank else k, options.weights)
         else:
-            hits = fusion.reciprocal_rank_fusion(lists, pool if options.rerank else options.k, 60 if options.rrf_k is None else options.rrf_k, options.weights)
+            hits = fusion.reciprocal_rank_fusion(lists, pool if options.rerank else k, 60 if options.rrf_k is None else options.rrf_k, options.weights)
         if options.rerank:
             scorer = fusion.overlap_scorer(self.chunks.select("chunk_id", F.col("embedding_text").alias("text")), asked)
-            hits = fusion.rerank(hits, scorer, options.k, pool, options.mode)
+            hits = fusion.rerank(hits, scorer, k, pool, options.mode)
         return hits
 
+    def provenance(self, hits: DataFrame) -> DataFrame:
+        """`hits` with what a client is told of each chunk, as one struct without the null fields' guesses: ids, place, headings, pages (the last is the first where there is one only), source."""
+        own = [c for c in ("doc_id", "source", "title", "format", "content_hash", "start_char", "end_char", "heading_path", "page", "page_end") if c in self.chunks.columns]
+        last = {"page_end": F.coalesce("page_end", "page").alias("page_end")} if {"page", "page_end"} <= set(own) else {}
+        told = self.chunks.select("chunk_id", "text", F.struct(*[last.get(c, F.col(c)) for c in own]).alias("provenance"))
+        return hits.join(told, "chunk_id")
+
+    def cited(self, queries: DataFrame, options: Request, sentences: int = answer.MAX_SENTENCES) -> DataFrame:
+        """Citations of the extractive answers, with their places in the documents."""
+        hits = self.search(queries, options).join(self.chunks.select("chunk_id", "text", *[c for c in ("format",) if c in self.chunks.columns]), "chunk_id")
+        return answer.citations(answer.cited_sentences(queries, hits, sentences), self.chunks)
+
     def answer(self, queries: DataFrame, options: Request, sentences: int = answer.MAX_SENTENCES) -> DataFrame:
         hits = self.search(queries, options).join(self.chunks.select("chunk_id", "text"), "chunk_id")
         return answer.extractive_answers(queries, hits, sentences)
@@ -73,6 +89,16 @@ def build(spark: SparkSession, root: str, out: str, corpus: str, settings: Setti
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser("lodestar")
     commands = parser.add_subparsers(dest="command", required=True)
+    read = commands.add_parser("ingest", help="read a folder of files; writes documents as JSON lines and prints what was left out and why")
+    read.add_argument("root")
+    read.add_argument("--out", required=True)
+    read.add_argument("--corpus", default="default")
+    tried = commands.add_parser("evaluate", help="measure retrieval over a ranked or structured evaluation set")
+    tried.add_argument("index")
+    tried.add_argument("--queries", required=True, help="Parquet (query_id, text)")
+    tried.add_argument("--judged", required=True, help="Parquet (query_id, doc_id, grade)")
+    tried.add_argument("--mode", action="append", default=[])
+    tried.add_argument("--out", required=True)
     made = commands.add_parser("index", help="build an index from a folder of files")
     made.add_argument("root")
     made.add_argument("--out", required=True)
@@ -95,6 +121,21 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "index":
             print(json.dumps(build(spark, args.root, args.out, args.corpus, Settings.from_env())))
             return 0
+        if args.command == "ingest":
+            files = ingest(spark, args.root, args.corpus, Settings.from_env().max_bytes)
+            write_documents(files.where("skipped is null").drop("skipped"), args.out)
+            for row in files.where("skipped is not null").select("source", "skipped").toLocalIterator():
+                print(f"{row['source']}: {row['skipped']}", file=sys.stderr)
+            print(json.dumps({"documents": spark.read.text(args.out).count()}))
+            return 0
+        if args.command == "evaluate":
+            from lodestar.jobs import evaluation
+
+            metrics, report = evaluation.run(Index.load(spark, args.index), spark.read.parquet(args.queries), spark.read.parquet(args.judged), args.mode or MODES)
+            evaluation.write_report(spark, report, f"{args.out}/report.json")
+            evaluation.write_scores(metrics, f"{args.out}/scores")
+            print(evaluation.as_markdown(report))
+            return 0
         options = Request(args.query, args.k, args.mode, args.fusion, args.rrf_k, parse_weights(args.weight), args.candidates, args.rerank, parse_filters(args.filter))
         held = Index.load(spark, args.index)
         queries = spark.createDataFrame([("q", args.query)], "query_id string, text string")

@@ -41,9 +41,11 @@ def stacked(lists: Mapping[str, DataFrame], weights: Mapping[str, float] | None)
 
 
 def _fused(both: DataFrame, part: Column, label: str, k: int | None) -> DataFrame:
-    """Sum the parts; order by score, then best rank, then the list (in order) and rank where it was first seen."""
+    """Sum the parts; order by score, then best rank, then the list (in order) and rank where it was first seen. The job fails for hits that `faulty_hits` would name."""
+    finite = F.min(F.coalesce(~F.isnan("score") & (F.abs("score") < float("inf")), F.lit(False)))
+    whole = finite & (F.count("*") == F.count_distinct("list")) & (F.min("rank") >= 1)
     grouped = both.withColumn("part", part).groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum("part"), DIGITS).alias("score"),
+        F.when(whole, F.round(F.sum("part"), DIGITS)).otherwise(F.raise_error(F.lit("a chunk twice in a list, a score that is no finite number, or a rank under 1"))).alias("score"),
         F.min("rank").alias("best"),
         F.min(F.col("at") * F.lit(1 << 40) + F.col("rank")).alias("seen"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("list", "score")))).alias("components"),

@@ -163,3 +163,51 @@ def test_scanner_reads_what_is_there():
         ("text", "a", ""), ("open", '<b c="x>y">', "b"), ("text", "d", ""), ("close", "</b >", "b"), ("open", "<script>", "script"), ("raw", "if (a<b) {}", "script"), ("close", "</script>", "script"),
         ("text", "e", ""), ("single", "<br/>", "br"), ("text", "< f ", ""), ("cdata", "<g>", ""), ("text", "h</", ""),
     ]
+
+
+def test_commands_and_reports(spark, tmp_path, capsys):
+    from lodestar.jobs import evaluation as runs
+    from lodestar.jobs import service
+
+    root = tmp_path / "files"
+    root.mkdir()
+    for i, word in enumerate(["apple", "banana", "cherry", "damson"]):
+        (root / f"{word}.md").write_text(f"---\ntopic: fruit\n---\n# {word}\n\nA {word} is a fruit. It grows on tree {i}.\n\n## More\n\nNobody dislikes a {word}.\n")
+    (root / "picture.bin").write_bytes(b"\0\1")
+    assert service.main(["ingest", str(root), "--out", str(tmp_path / "docs")]) == 0
+    said = capsys.readouterr()
+    assert json.loads(said.out.strip().splitlines()[-1]) == {"documents": 4} and "picture.bin: unsupported extension" in said.err
+    docs = evaluation.read_documents(spark, str(tmp_path / "docs"))
+    assert docs.count() == 4
+    assert service.main(["index", str(root), "--out", str(tmp_path / "index")]) == 0
+    ids = {r["source"]: r["doc_id"] for r in docs.collect()}
+    spark.createDataFrame([("q1", "banana fruit"), ("q2", "cherry")], "query_id string, text string").write.parquet(str(tmp_path / "q"))
+    spark.createDataFrame([("q1", ids["banana.md"], 1), ("q2", ids["cherry.md"], 1)], "query_id string, doc_id string, grade int").write.parquet(str(tmp_path / "j"))
+    assert service.main(["evaluate", str(tmp_path / "index"), "--queries", str(tmp_path / "q"), "--judged", str(tmp_path / "j"), "--mode", "lexical", "--out", str(tmp_path / "report")]) == 0
+    report = json.loads((tmp_path / "report" / "report.json").read_text())
+    assert report["modes"]["lexical"]["mrr@10"] == 1.0 and report["modes"]["lexical"]["short_queries"] == 2 and "| lexical |" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "report" / "scores")).where("metric = 'recall@1' and value = 1").count() == 2
+    with pytest.raises(ValueError):
+        runs.write_report(spark, {"x": float("nan")}, str(tmp_path / "bad.json"))
+    held = service.Index.load(spark, str(tmp_path / "index"))
+    queries = spark.read.parquet(str(tmp_path / "q"))
+    timed = runs.latencies(held, queries, "lexical")
+    assert timed["n"] == 1 and timed["p50"] == timed["p95"] > 0
+    from lodestar.jobs.options import Request
+
+    told = held.provenance(held.search(queries, Request("x", 1, "lexical"))).where("query_id = 'q1'").first()["provenance"]
+    assert told["source"] == "banana.md" and told["format"] == "markdown" and told["heading_path"][0] == "banana"
+    assert held.search(queries, Request("x", 5, "lexical", filters={"source": "apple.md"})).select("chunk_id").distinct().count() >= 1
+    assert held.search(queries, Request("x", 5, "lexical", filters={"nothing": "here"})).count() == 0
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    cited = held.cited(queries, Request("x", 3, "lexical")).collect()
+    assert cited and all(text[r["doc_id"]][r["start_char"] : r["end_char"]] == r["quote"] and not r["quote"].startswith("#") for r in cited)
+
+
+def test_fusion_refuses_faulty_hits(spark):
+    from lodestar.operators import fusion
+
+    schema = "query_id string, chunk_id string, score double, rank long"
+    for rows in ([("q", "a", 1.0, 1), ("q", "a", 0.5, 2)], [("q", "a", float("nan"), 1)], [("q", "a", 1.0, 0)], [("q", "a", float("inf"), 1)]):
+        with pytest.raises(Exception, match="a chunk twice in a list"):
+            fusion.reciprocal_rank_fusion({"x": spark.createDataFrame(rows, schema)}).collect()
