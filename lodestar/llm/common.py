@@ -9,9 +9,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only after its rows were counted and found to be at most this many (8-byte ids: 16 MB).
-BROADCAST_ROWS = 2_000_000
+#: A side of a join is broadcast only after its rows were counted and found to hold at most so many bytes.
+BROADCAST_BYTES = 64 << 20
+#: Where tables go in a local session that names no shared folder, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where the session names none (tests), a new local one."""
+    """The folder that all executors share; in a local session that names none (tests), a new one for the application."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        application = spark.sparkContext.applicationId
+        where = _LOCAL.get(application) or _LOCAL.setdefault(application, tempfile.mkdtemp(prefix="lodestar-"))
     return where.rstrip("/")
 
 
@@ -50,9 +53,15 @@ def discard(df: DataFrame | None) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it has at most `limit` rows, else as it is (then Spark shuffles both sides)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row in a broadcast table: 8 for a number, 48 for a string or a nested field, 24 around them."""
+    return 24 + sum(8 if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) else 48 for f in df.schema.fields)
+
+
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if its rows, counted, hold at most `limit` bytes, else as it is (then Spark shuffles both sides). Not for tables of long strings."""
+    rows = limit // row_bytes(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
