@@ -170,7 +170,7 @@ def _histograms(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def across(n: np.ndarray, bins: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(i, j, gap of their histograms), i of `left`, j of `right`, of different components that size and histogram let through."""
     width = min(map(len, bins))  # histograms of one width can be compared
-    folded = np.stack([x.reshape(-1, width).sum(0) for x in bins]).astype(np.int32)
+    folded = np.stack([x if len(x) == width else x.reshape(-1, width).sum(0) for x in bins]).astype(np.int32)
     by_size = right[np.argsort(n[right], kind="stable")]
     sizes = n[by_size]
     for i in left:
@@ -199,38 +199,46 @@ def _across(it: Iterator[pd.DataFrame], closest: bool) -> Iterator[pd.DataFrame]
 
     A pair that meets under several keys (`keys`, those of a set) is named under the least only.
     """
-    held: list[pd.DataFrame] = []
+    columns = ["n", "comp", "block", "fp", "bins"] + ([] if closest else ["keys"])
+    held: list[list[np.ndarray]] = []
+    last: tuple[int, int, int] = (0, 0, 0)
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.reset_index(drop=True)
-        n, comp, block, key = group["n"].to_numpy(), group["comp"].to_numpy(), group["block"].to_numpy(), group["key"].iloc[0]
-        bins = [np.frombuffer(x, "<u2" if k < 65536 else "<u4").astype(np.int64) for x, k in zip(group["bins"], n, strict=True)]
-        first, second = group["first"].iloc[0], group["second"].iloc[0]
+    def settle() -> tuple[np.ndarray, np.ndarray]:
+        n, comp, block, fp, packed, *keys = held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+        key, first, second = last
         left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        if not len(left) or not len(right) or (comp == comp[0]).all():
+            return fp[:0], fp[:0]
+        bins = [np.frombuffer(x, "<u2" if k < 65536 else "<u4").astype(np.int64) for x, k in zip(packed, n.tolist(), strict=True)]
         pairs = [x for x in across(n, bins, comp, left, right) if first != second or x[0] < x[1]]
         if closest:
             pairs = _closest(pairs, comp)
-        else:
-            own = [frozenset(k) for k in group["keys"]] if pairs else []
+        elif pairs:
+            own = {i: frozenset(keys[0][i]) for x in pairs for i in x[:2]}
             pairs = [x for x in pairs if min(own[x[0]] & own[x[1]]) == key]
-        fp = group["fp"].to_numpy()
         a, b = fp[[x[0] for x in pairs]] if pairs else fp[:0], fp[[x[1] for x in pairs]] if pairs else fp[:0]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        return np.minimum(a, b), np.maximum(a, b)
 
-    last = None
     for pdf in it:
-        keys = list(zip(pdf["key"], pdf["first"], pdf["second"], strict=True))
-        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        key, first, second = (pdf[c].to_numpy() for c in ("key", "first", "second"))
+        values = [pdf[c].to_numpy() for c in columns]
+        new = (key[1:] != key[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(key)]
+        found = []
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             if s == e:
                 continue
-            if keys[s] != last and held:
-                yield settle(pd.concat(held))
+            at = (int(key[s]), int(first[s]), int(second[s]))
+            if held and at != last:
+                found.append(settle())
                 held = []
-            last = keys[s]
-            held.append(pdf.iloc[s:e])
+            last = at
+            held.append([x[s:e] for x in values])
+        if found:
+            yield pd.DataFrame({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])}).drop_duplicates()
     if held:
-        yield settle(pd.concat(held))
+        a, b = settle()
+        yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
 
 def sets_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
