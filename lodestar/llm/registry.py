@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, embed_dedup, html_extract, jaccard_join, language_id, merkle, mixing, quality_mil, secret_scan, substring_dedup, url_filter
+from lodestar.llm import decontaminate, embed_dedup, html_extract, jaccard_join, language_id, merkle, mixing, quality_mil, secret_scan, substring_dedup, token_store, url_filter
 
 QUERIES = {
     "op1_html_extraction": (html_extract.op1_html_extraction, None),
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_quality_classifier": (quality_mil.op7_quality_classifier, None),
     "op9_language_id": (language_id.op9_language_id, None),
     "op4_mixing": (mixing.op4_mixing, None),
+    "op11_token_output": (token_store.op11_token_output, None),
     "op13_merkle_manifest": (merkle.op13_merkle_manifest, merkle.OP13_SQL),
     "op8_substring_dedup": (substring_dedup.op8_substring_dedup, None),
 }
