@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, embed_dedup, html_extract, jaccard_join, language_id, merkle, mixing, quality_mil, secret_scan, substring_dedup, token_store, url_filter
+from lodestar.llm import decontaminate, embed_dedup, html_extract, jaccard_join, language_id, merkle, mixing, quality_mil, secret_scan, substring_dedup, token_align, token_store, url_filter
 
 QUERIES = {
     "op1_html_extraction": (html_extract.op1_html_extraction, None),
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_language_id": (language_id.op9_language_id, None),
     "op4_mixing": (mixing.op4_mixing, None),
     "op11_token_output": (token_store.op11_token_output, None),
+    "op12_tokenizer_alignment": (token_align.op12_tokenizer_alignment, None),
     "op13_merkle_manifest": (merkle.op13_merkle_manifest, merkle.OP13_SQL),
     "op8_substring_dedup": (substring_dedup.op8_substring_dedup, None),
 }
