@@ -17,6 +17,7 @@ names are part of a store, so attempts that were lost or ran twice leave nothing
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -49,17 +50,52 @@ class BrokenFile(ValueError):
 # --- encoding ---------------------------------------------------------------------------------
 
 
+BLANK = re.compile(r"[ \n\t\r]")
+#: What both vocabularies' splitters cut into letters and signs, whatever stands around it.
+PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+
+
+def quiet_tokenizer(path: str) -> object:
+    """The tokenizer of a file, in a task: without threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian bytes.
 
     The vocabulary drops white space and no word's ids depend on its neighbours, so each distinct
-    word is encoded by the tokenizer once while it is remembered.
+    word is encoded by the tokenizer once while it is remembered (words of ASCII letters and signs
+    by its model alone, as the steps before it only cut between the two). When CACHE new words have come,
+    those that were not met since the last time are forgotten.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = quiet_tokenizer(path)
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        if not new:
+            return
+        if len(self.known) + len(new) > CACHE:
+            self.known, self.before = {}, self.known
+            new = words
+        again = {word for word in new if word in self.before}
+        for word in again:
+            self.known[word] = self.before[word]
+        rest = []
+        for word in new.difference(again):
+            if m := PLAIN.fullmatch(word):
+                self.known[word] = np.array([t.id for part in m.groups() if part for t in self.model.tokenize(part.lower())], "<u4").tobytes()
+            else:
+                rest.append(word)
+        for word, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[word] = np.array(x.ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> Iterator[bytes]:
         """The ids, stretch by stretch."""
@@ -67,16 +103,11 @@ class WordEncoder:
         while at < len(text):
             end = len(text) if len(text) - at <= STRETCH else at + STRETCH
             if end < len(text):
-                m = re.compile(r"[ \n\t\r]").search(text, end)
+                m = BLANK.search(text, end)
                 end = m.end() if m else len(text)
             words = text[at:end].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             at = end
-            new = list(set(words).difference(self.known))
-            if new:
-                if len(self.known) + len(new) > CACHE:
-                    self.known, new = {}, list(set(words))
-                for word, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(x.ids, "<u4").tobytes()
+            self._learn(set(words))
             yield b"".join(map(self.known.__getitem__, words))
 
 
@@ -299,7 +330,8 @@ def _crc(parts: Iterator[bytes]) -> int:
 
 def read_all(manifest: DataFrame, path: str, make: Callable[[Iterator[bytes]], object] = _ids, column: str = "made array<long>") -> DataFrame:
     """Every document of a store, read from its files; a file is read by one task, frame by frame."""
-    files = manifest.select("file").distinct().withColumn("docs", F.lit(None).cast("array<int>"))
+    spread = 4 * manifest.sparkSession.sparkContext.defaultParallelism
+    files = manifest.select("file").distinct().repartition(spread, "file").withColumn("docs", F.lit(None).cast("array<int>"))
     return _read(files, path, make, column)
 
 
