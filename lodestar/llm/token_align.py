@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,40 +28,44 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import BROADCAST_BYTES, discard, row_bytes, stored, table
-from lodestar.llm.token_store import tokenizer_path
+from lodestar.llm.token_store import PLAIN, quiet_tokenizer, tokenizer_path
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Stretches and their tokens that a task remembers; characters of a section, and of the sections that are aligned side by side.
-CACHE, CACHE_TOKENS, SECTION, BATCH = 300_000, 4_000_000, 1 << 20, 1 << 20
+CACHE, CACHE_TOKENS, SECTION, BATCH = 200_000, 2_000_000, 1 << 19, 1 << 19
 #: Links of a group that are written out before they are counted; larger groups are counted by their distinct ids.
 WIDE = 1 << 14
+#: Stretches that are encoded at once.
+AT_ONCE = 4096
 SPACE = re.compile(r"(?<=[^ ]) (?=\S)")
 UNEVEN = re.compile(r" \s")
 
 
 class _Flat:
-    """Growing lists of ids with their lengths in bytes, one for each stretch."""
-
-    def __init__(self):
-        self.ids, self.bytes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.starts, self.counts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = self.n = 0
-
-    def add(self, ids: list[int], lengths: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.ids):
-            self.ids, self.bytes = np.concatenate([self.ids, np.zeros_like(self.ids)]), np.concatenate([self.bytes, np.zeros_like(self.bytes)])
-        if self.n == len(self.starts):
-            self.starts, self.counts = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
-        own = np.array(ids, np.int32)
-        self.ids[self.used : self.used + len(own)], self.bytes[self.used : self.used + len(own)] = own, lengths[own]
-        self.starts[self.n], self.counts[self.n] = self.used, len(own)
-        self.used, self.n = self.used + len(own), self.n + 1
-
-    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids and byte lengths of the stretches `codes` one after another, and how many each has."""
+    """Lists of ids with their lengths in bytes, one for each stretch."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.lengths, self.ids, self.counts, self.starts = lengths, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
+        self.counts = np.concatenate([self.counts, counts])
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stretches `codes` one after another, and how many each has."""
         counts = self.counts[codes]
-        at = np.arange(int(counts.sum())) + np.repeat(self.starts[codes] - np.cumsum(counts) + counts, counts)
-        return self.ids[at], self.bytes[at], counts
+        return self.ids[np.arange(int(counts.sum())) + np.repeat(self.starts[codes] - np.cumsum(counts) + counts, counts)], counts
+
+    def kept(self, codes: np.ndarray) -> _Flat:
+        out = _Flat(self.lengths)
+        out.add(*self.gather(codes))
+        return out
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
 
 
 class Pair:
@@ -68,38 +73,68 @@ class Pair:
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a, self.b = quiet_tokenizer(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
+        self.model = self.a.model
         self.a_bytes, self.b_bytes = _byte_level(self.a), _pieces(self.b)
         self.n_a, self.n_b = len(self.a_bytes), len(self.b_bytes)
         if self.n_a * self.n_b >= 1 << 31:
             raise ValueError("the pairs of the two vocabularies must fit in 31 bits")
         if any(b" " in x.lstrip(b" ") for x in self.b_bytes):
             raise ValueError("a piece of the second vocabulary reaches over a space")
-        self.a_lengths, self.b_lengths = (np.array([len(x) for x in v], np.int32) for v in (self.a_bytes, self.b_bytes))
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat_a, self.flat_b, self.good = _Flat(), _Flat(), []
+        self.flat_a, self.flat_b = (_Flat(np.array([len(x) for x in v], np.int32)) for v in (self.a_bytes, self.b_bytes))
+        self.good, self.met = np.zeros(0, bool), np.zeros(0, np.int64)
 
     def codes(self, stretches: list[str]) -> np.ndarray:
-        new = list(set(stretches).difference(self.known))
+        """Numbers of the stretches; they hold until the next call."""
+        own = set(stretches)
+        new = own.difference(self.known)
+        if len(self.known) + len(new) > CACHE or len(self.flat_a.ids) > CACHE_TOKENS:
+            self._forget()
+            new = own.difference(self.known)
         if new:
-            if len(self.known) + len(new) > CACHE or self.flat_a.used > CACHE_TOKENS:
-                self._forget()
-                new = list(set(stretches))
-            spaced = [" " + s for s in new]
-            for s, whole, a, b in zip(new, spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True):
-                ids, raw = a.ids, whole.encode("utf-8", "surrogatepass")
-                good = b"".join(map(self.a_bytes.__getitem__, ids)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-                self.known[s] = len(self.good)
-                self.good.append(good)
-                self.flat_a.add(ids if good else [], self.a_lengths)
-                self.flat_b.add(b if good else [], self.b_lengths)
-        return np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
+            self._learn(sorted(new))
+        codes = np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
+        self.met += np.bincount(codes, minlength=len(self.met))
+        return codes
+
+    def _forget(self) -> None:
+        """Only stretches met twice since the last time stay; none if they are over half of what may be remembered."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > CACHE // 2 or self.flat_a.counts[kept].sum() > CACHE_TOKENS // 2:
+            kept = kept[:0]
+        place = np.full(len(self.met), -1)
+        place[kept] = np.arange(len(kept))
+        self.known = {s: p for s, p in ((s, int(place[c])) for s, c in self.known.items()) if p >= 0}
+        self.flat_a, self.flat_b, self.good, self.met = self.flat_a.kept(kept), self.flat_b.kept(kept), self.good[kept], np.zeros(len(kept), np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            plain = [m and m.groups() for m in map(PLAIN.fullmatch, part)]
+            other = iter(self.a.encode_batch_fast([" " + s for s, p in zip(part, plain, strict=True) if not p], add_special_tokens=False))
+            # A space and ASCII letters are one piece for the steps before the model, which spell the space as U+0120; signs after them another.
+            a = _flat([[t.id for x in (self.model.tokenize("\u0120" + p[0]), self.model.tokenize(p[1]) if p[1] else ()) for t in x] if p else next(other).ids for p in plain])
+            b = _flat(self.b.encode(part, num_threads=1))
+            raw = [(" " + s).encode("utf-8", "surrogatepass") for s in part]
+            good = self._same(raw, a, self.a_bytes, self.flat_a.lengths) & self._same(raw, b, self.b_bytes, self.flat_b.lengths)
+            for flat, (ids, counts) in ((self.flat_a, a), (self.flat_b, b)):
+                flat.add(ids[np.repeat(good, counts)], np.where(good, counts, 0))
+            self.known.update(zip(part, range(len(self.good), len(self.good) + len(part)), strict=True))
+            self.good = np.concatenate([self.good, good])
+            self.met = np.concatenate([self.met, np.zeros(len(part), np.int64)])
+
+    @staticmethod
+    def _same(raw: list[bytes], tokens: tuple[np.ndarray, np.ndarray], spelled: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """Which stretches the tokens give back byte for byte."""
+        ids, counts = tokens
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        size = np.concatenate([[0], np.cumsum(lengths[ids])])[edge]
+        if b"".join(map(spelled.__getitem__, ids.tolist())) == b"".join(raw) and (np.diff(size) == np.fromiter(map(len, raw), np.int64, len(raw))).all():
+            return np.ones(len(raw), bool)
+        return np.array([b"".join(map(spelled.__getitem__, ids[s:e].tolist())) == x for s, e, x in zip(edge[:-1], edge[1:], raw, strict=True)])
 
 
 def _byte_level(tokenizer: object) -> list[bytes]:
@@ -167,7 +202,7 @@ def divide(ea: np.ndarray, eb: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: n
         leaves.append(at[:, cut < 0])
         at, cut = at[:, cut >= 0], cut[cut >= 0] + 1
         cut_b = np.searchsorted(eb, ea[cut - 1]) + 1
-        at = np.concatenate([np.stack([at[0], cut, at[2], cut_b]), np.stack([cut, at[1], cut_b, at[3]])], axis=1)
+        at = np.stack([np.stack([at[0], cut, at[2], cut_b]), np.stack([cut, at[1], cut_b, at[3]])], axis=2).reshape(4, -1)  # in order
     groups = np.concatenate(leaves, axis=1) if leaves else at
     return tuple(groups[:, np.argsort(groups[0], kind="stable")])
 
@@ -208,7 +243,7 @@ class Aligner:
     def align(self, batch: list[tuple[_Document, list[str]]]) -> None:
         """Adds the groups and links of each section to its document; a document's sections come in order."""
         codes = self.pair.codes([s for _, own in batch for s in own])
-        good = np.array(self.pair.good, bool)[codes]
+        good = self.pair.good[codes]
         size = np.array([len(own) for _, own in batch])
         for (doc, _), ok in zip(batch, np.logical_and.reduceat(good, np.cumsum(size) - size), strict=True):
             doc.good &= bool(ok)
@@ -216,8 +251,9 @@ class Aligner:
         codes, size, docs = codes[np.repeat(use, size)], size[use], [doc for (doc, _), ok in zip(batch, use, strict=True) if ok]
         if not docs:
             return
-        ids_a, bytes_a, n_a = self.pair.flat_a.gather(codes)
-        ids_b, bytes_b, n_b = self.pair.flat_b.gather(codes)
+        ids_a, n_a = self.pair.flat_a.gather(codes)
+        ids_b, n_b = self.pair.flat_b.gather(codes)
+        bytes_a, bytes_b = self.pair.flat_a.lengths[ids_a], self.pair.flat_b.lengths[ids_b]
         edge = np.cumsum(size) - size
         end_a, end_b = np.cumsum(np.add.reduceat(n_a, edge)), np.cumsum(np.add.reduceat(n_b, edge))
         start_a, start_b = np.concatenate([[0], end_a[:-1]]), np.concatenate([[0], end_b[:-1]])
