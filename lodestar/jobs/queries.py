@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
-from lodestar.operators import answer, answer_eval, chunking, embedding, evaluate, fusion, index, search
+from lodestar.operators import answer, answer_eval, chunking, embedding, evaluate, fusion, index, postings as lists, search
+from lodestar.operators.store import Store, metadata_matches
+from lodestar.operators.tables import new_path, spread
 from lodestar.sources.files import parse_pages
 from lodestar.streaming.ingest import latency_by_window
 
@@ -19,7 +21,7 @@ CORPUS = "corpus"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -268,6 +270,96 @@ def bm25_after_delete(spark, d):
     return search.bm25_search(search.tokenized(kept), _asked(spark, d), K)
 
 
+# --- the index on disk -----------------------------------------------------------------------
+
+
+def _written(spark, d):
+    """Posting lists of all documents, written and read again."""
+    path = new_path(spark, "postings")
+    lists.write(lists.build(_docs(spark, d).withColumn("ord", F.monotonically_increasing_id()), "text"), path)
+    rows = spark.read.parquet(path).withColumn("segment", F.lit("all"))
+    n, length = lists.Postings(rows, 0, 0).heads().agg(F.sum(F.size("places")), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
+    return lists.Postings(rows, n or 0, length or 0)
+
+
+def bm25_from_index(spark, d):
+    return _written(spark, d).search(_asked(spark, d), K)
+
+
+def bm25_pruned(spark, d):
+    """As `bm25_from_index`, every block that cannot hold a hit left unread however few there are."""
+    return _written(spark, d).search(_asked(spark, d), K, pruned_from=0)
+
+
+def _as_chunks(docs):
+    """Each document (doc_id, lang, text) that is not empty as one chunk, with a vector of two figures."""
+    vector = F.array(F.length("text").cast("double"), F.lit(1.0))
+    return docs.where("length(text) > 0").select("doc_id", F.col("doc_id").alias("chunk_id"), X.content_hash(F.col("text")).alias("content_hash"), F.lit(0).cast("long").alias("start_char"), F.length("text").cast("long").alias("end_char"), "text", F.col("text").alias("embedding_text"), vector.alias("embedding"))
+
+
+def _versions(spark, d):
+    """An index of all documents but every tenth; those come and others shrink to their first line; then Spanish ones go."""
+    docs, path = _table(spark, d, "documents").select("doc_id", "lang", "text"), new_path(spark, "index")
+    old = docs.where("doc_id % 10 <> 3")
+    new = docs.where("doc_id % 10 in (2, 3)").withColumn("text", F.when(F.expr("doc_id % 10 = 2"), F.substring_index("text", "\n", 1)).otherwise(F.col("text")))
+    first = Store.create(spark, path, _as_chunks(old), old, "none", 2)
+    return first.upsert(_as_chunks(new), new).delete(docs.where("lang = 'es'"))
+
+
+def index_versions(spark, d):
+    """What each version holds, read from its own manifest and tables; the last is compacted."""
+    last, removed = _versions(spark, d)
+    compact = last.compact()
+    compact.check()
+    held = [Store.open(spark, last.path, v) for v in (1, 2, 3, 4)]
+    rows = [s.chunks().agg(F.count("*").alias("chunks"), F.sum(F.length("text").cast("long")).alias("chars")).crossJoin(s.documents().agg(F.count("*").alias("documents"))).select(
+        F.lit(s.manifest["version"]).cast("long").alias("version"), "chunks", "chars", "documents", F.lit(s.manifest["tokens"]).cast("long").alias("tokens"), F.lit(removed if s.manifest["version"] == 3 else 0).cast("long").alias("removed")) for s in held]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+_SECOND = "SELECT doc_id, lang, CASE WHEN doc_id % 10 = 2 THEN string_split(text, chr(10))[1] ELSE text END AS text FROM documents"
+VERSIONS_SQL = f"""WITH second AS ({_SECOND}), third AS (SELECT * FROM second WHERE lang IS DISTINCT FROM 'es'),
+v AS (SELECT 1 AS version, * FROM (SELECT doc_id, lang, text FROM documents WHERE doc_id % 10 <> 3) UNION ALL SELECT 2, * FROM second UNION ALL SELECT 3, * FROM third UNION ALL SELECT 4, * FROM third)
+SELECT version::BIGINT AS version, count(*) FILTER (WHERE text <> '') AS chunks, sum(length(text))::BIGINT AS chars, count(*) AS documents, sum(len({tok('text')}))::BIGINT AS tokens,
+  CASE WHEN version = 3 THEN (SELECT count(*) FROM second WHERE lang = 'es' AND text <> '') ELSE 0 END::BIGINT AS removed FROM v GROUP BY version"""
+
+
+def bm25_from_versions(spark, d):
+    """Search of an index whose lists stand in two segments, with chunks deleted from both."""
+    store, _ = _versions(spark, d)
+    return store.postings().search(_asked(spark, d), K)
+
+
+def index_drift(spark, d):
+    """Total lengths that an index holds, and that two tokenizers cut from its chunks; an index opens only with its own."""
+    docs, path = _table(spark, d, "documents").select("doc_id", "lang", "text"), new_path(spark, "index")
+    store, rows = Store.create(spark, path, _as_chunks(docs), docs, "none", 2), []
+    for name, cut in (("own", X.bm25_tokens), ("blanks", lambda c: F.regexp_extract_all(c, F.lit("[^ \\n\\t\\r]+"), F.lit(0)))):
+        held, now = store.drift(cut)
+        try:
+            Store.open(spark, path, tokenizer=cut)
+            refused = False
+        except index.IndexFault:
+            refused = True
+        rows.append((name, held, now, refused))
+    return spark.createDataFrame(rows, "tokenizer string, stored long, cut long, refused boolean")
+
+
+DRIFT_SQL = f"""WITH t AS (SELECT sum(len({tok('text')}))::BIGINT AS own, sum(len(regexp_extract_all(text, '[^ \n\t\r]+')))::BIGINT AS blanks FROM documents)
+SELECT 'own' AS tokenizer, own AS stored, own AS cut, false AS refused FROM t UNION ALL SELECT 'blanks', own, blanks, true FROM t"""
+
+
+def metadata_filter(spark, d):
+    """Filters of each kind on fields of the documents' metadata as JSON."""
+    fields = F.to_json(F.struct("lang", "n_chars", (F.col("doc_id") % 2 == 0).alias("even"), F.array("lang", "source").alias("tags"), F.when(F.expr("doc_id % 3 = 0"), "7").alias("seven"), F.when(F.expr("doc_id % 3 = 1"), 7.0).alias("number")))
+    wanted = {"by_text": ("lang", "de"), "by_any": ("lang", ["fr", "es", 5]), "by_number": ("n_chars", [500, 600, 700, 800]), "by_truth": ("even", True), "by_overlap": ("tags", ["en", "src3"]), "not_a_number": ("seven", 7), "a_number": ("number", 7), "missing": ("nothing", "de")}
+    return _table(spark, d, "documents").select("doc_id", *[metadata_matches(fields, key, value).alias(name) for name, (key, value) in wanted.items()])
+
+
+METADATA_SQL = """SELECT doc_id, coalesce(lang = 'de', false) AS by_text, coalesce(lang IN ('fr', 'es'), false) AS by_any, coalesce(n_chars IN (500, 600, 700, 800), false) AS by_number, doc_id % 2 = 0 AS by_truth,
+  coalesce(lang = 'en', false) OR coalesce(source = 'src3', false) AS by_overlap, false AS not_a_number, doc_id % 3 = 1 AS a_number, false AS missing FROM documents"""
+
+
 # --- dense search ----------------------------------------------------------------------------
 
 
@@ -678,6 +770,12 @@ QUERIES = {
     "bm25_topk_filtered": (bm25_topk_filtered, f"WITH {bm25_sql(keep=chr(39).join(['lang IN (', 'de', ', ', 'fr', ')']), k=K)} SELECT * FROM hits"),
     "bm25_after_upsert": (bm25_after_upsert, f"WITH {bm25_sql('SELECT doc_id AS chunk_id, CASE WHEN doc_id % 10 = 0 THEN string_split(text, chr(10))[1] ELSE text END AS text FROM documents', k=K)} SELECT * FROM hits"),
     "bm25_after_delete": (bm25_after_delete, f"WITH {bm25_sql(chr(39).join(['SELECT doc_id AS chunk_id, text FROM documents WHERE lang IS DISTINCT FROM ', 'es', '']), k=K)} SELECT * FROM hits"),
+    "bm25_from_index": (bm25_from_index, f"WITH {bm25_sql(k=K)} SELECT * FROM hits"),
+    "bm25_pruned": (bm25_pruned, f"WITH {bm25_sql(k=K)} SELECT * FROM hits"),
+    "bm25_from_versions": (bm25_from_versions, f"WITH {bm25_sql(f'SELECT doc_id AS chunk_id, text FROM ({_SECOND}) WHERE lang IS DISTINCT FROM {chr(39)}es{chr(39)} AND text <> {chr(39)}{chr(39)}', k=K)} SELECT * FROM hits"),
+    "index_versions": (index_versions, VERSIONS_SQL),
+    "index_drift": (index_drift, DRIFT_SQL),
+    "metadata_filter": (metadata_filter, METADATA_SQL),
     "dense_topk": (dense_topk, dense_sql("true")),
     "dense_topk_label_filter": (dense_topk_label_filter, dense_sql("n.label IN (1, 2, 3)")),
     "l2_norms": (l2_norms, L2_SQL),

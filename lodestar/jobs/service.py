@@ -5,12 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.jobs.options import MODES, Request, Settings, parse_filters, parse_weights
 from lodestar.operators import answer, chunking, embedding, fusion, index, search
+from lodestar.operators.store import Store, metadata_matches
 from lodestar.sources.evaluation import write_documents
 from lodestar.sources.files import ingest
 
@@ -18,31 +20,45 @@ from lodestar.sources.files import ingest
 class Index:
     """A loaded index. `chunks` has chunk_id, doc_id, text, embedding_text, embedding, and what filters name."""
 
-    def __init__(self, chunks: DataFrame, embedder: str, k1: float = search.K1, b: float = search.B):
-        self.chunks, self.k1, self.b = chunks, k1, b
+    def __init__(self, chunks: DataFrame, embedder: str, k1: float = search.K1, b: float = search.B, store: Store | None = None):
+        """`store` is the store that `chunks` are of; without one, lexical searches tokenize the chunks."""
+        self.chunks, self.k1, self.b, self.store = chunks, k1, b, store
         self.embed = embedding.embedder(embedder)
-        self.tokens = search.tokenized(chunks.drop("embedding", "text"), "embedding_text")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        chunks, _, manifest = index.load(spark, path)
-        return cls(chunks, manifest["embedder"], **manifest["bm25"])
+        store = Store.open(spark, path)
+        store.check()
+        return cls(store.chunks(), store.manifest["embedder"], **store.manifest["bm25"], store=store)
+
+    def _keep(self, filters: Mapping[str, object]) -> Column | None:
+        """Chunks that meet all filters: on a column of the chunks, else on a field of their metadata; a field that neither has is never met."""
+        keep = None
+        for name, value in filters.items():
+            if name in self.chunks.columns and name not in ("segment", "ord", "embedding"):
+                own = search.matches(F.col(name), value, dict(self.chunks.dtypes)[name].startswith("array"))
+            else:
+                own = metadata_matches(F.col("metadata"), name, value) if "metadata" in self.chunks.columns else F.lit(False)
+            keep = own if keep is None else keep & own
+        return keep
+
+    def lexical(self, asked: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
+        """BM25 top k from the stored lists; of an index without a store, from the chunks' texts."""
+        if self.store is None:
+            return search.bm25_search(search.tokenized(self.chunks.drop("embedding", "text"), "embedding_text"), asked, k, keep, self.k1, self.b)
+        places = None if keep is None else self.store.places(self.chunks.where(keep))
+        return self.store.postings().search(asked, k, places, self.k1, self.b)
 
     def search(self, queries: DataFrame, options: Request, depth: int | None = None) -> DataFrame:
         """Hits of all `queries` (query_id, text) under the options (their own query is not used); `depth` hits of each in place of the options' k. A filter on a field that no chunk has finds nothing."""
-        keep, k = F.lit(True), depth or options.k
-        for name, value in options.filters.items():
-            if name not in self.chunks.columns:
-                keep = F.lit(False)
-                continue
-            keep = keep & search.matches(F.col(name), value, dict(self.chunks.dtypes)[name].startswith("array"))
+        keep, k = self._keep(options.filters), depth or options.k
         asked = queries.where("trim(text) <> ''")
         pool = max(k, options.candidates or fusion.CANDIDATES) if options.mode == "hybrid" or options.rerank else k
         lists = {}
         if options.mode != "lexical":
-            lists["dense"] = search.dense_search(self.chunks.where(keep), asked.select("query_id", self.embed(F.col("text")).alias("embedding")), pool)
+            lists["dense"] = search.dense_search(self.chunks if keep is None else self.chunks.where(keep), asked.select("query_id", self.embed(F.col("text")).alias("embedding")), pool)
         if options.mode != "dense":
-            lists["lexical"] = search.bm25_search(self.tokens, asked, pool, keep, self.k1, self.b)
+            lists["lexical"] = self.lexical(asked, pool, keep)
         if options.mode != "hybrid":
             hits = lists[options.mode].withColumn("retriever", F.lit(options.mode))
         elif options.fusion == "weighted":

@@ -1,17 +1,12 @@
-"""The index as tables: building, upsert and delete by document, saving with a manifest, loading with checks."""
+"""The index as tables: upsert and delete by document, checks of ids; on disk it is a `Store`."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators.chunking import verify
 from lodestar.operators.search import B, K1
 
-FORMAT = 1
-
 
 def upsert(old: DataFrame, new: DataFrame, evict_ids: bool = False) -> DataFrame:
     """`old` (chunk_id, doc_id, ord, ...) with all chunks of the documents of `new` replaced; `ord` goes on from the last, in the batch's own order if it has one.
@@ -52,50 +47,20 @@ class IndexFault(ValueError):
     """An index that must not be written or loaded."""
 
 
-def _manifest(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(f"{path}/manifest.json")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
 def save(path: str, chunks: DataFrame, docs: DataFrame, embedder: str, dimension: int, k1: float = K1, b: float = B) -> dict:
-    """Write chunks (with embedding) and documents, the manifest last; an old manifest goes first, so a broken save never loads."""
-    spark = chunks.sparkSession
-    if repeated_ids(chunks).limit(1).count():
-        raise IndexFault("a chunk_id is there twice")
-    wrong = verify(chunks, docs).limit(3).collect()
-    if wrong:
-        raise IndexFault(f"chunks do not agree with their documents: {wrong}")
-    fs, where = _manifest(spark, path)
-    fs.delete(where, False)
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    docs.write.mode("overwrite").parquet(f"{path}/documents")
-    manifest = {"format": FORMAT, "embedder": embedder, "dimension": dimension, "chunks": spark.read.parquet(f"{path}/chunks").count(), "documents": spark.read.parquet(f"{path}/documents").count(), "bm25": {"k1": k1, "b": b}}
-    out = fs.create(where, True)
-    try:
-        out.write(bytearray(json.dumps(manifest, indent=1).encode()))
-    finally:
-        out.close()
-    return manifest
+    """Chunks (with embedding) and documents as the whole of the index at `path`, its lexical index too: the next version of one that stands there."""
+    from lodestar.operators.store import Store
+
+    return Store.create(chunks.sparkSession, path, chunks, docs, embedder, dimension, k1, b).manifest
 
 
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    """(chunks, documents, manifest) of a saved index whose counts, dimension and offsets hold."""
-    fs, where = _manifest(spark, path)
-    if not fs.exists(where):
-        raise IndexFault("no manifest: nothing was saved here, or a save broke off")
-    manifest = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json").collect()))
-    if manifest.get("format") != FORMAT:
-        raise IndexFault(f"unknown format: {manifest.get('format')}")
-    chunks, docs = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/documents")
-    seen = chunks.agg(F.count("*"), F.count_if(F.size("embedding") != manifest["dimension"])).first()
-    if (seen[0], docs.count()) != (manifest["chunks"], manifest["documents"]):
-        raise IndexFault("the tables do not hold what the manifest says")
-    if seen[1]:
-        raise IndexFault("vectors of another dimension")
-    if verify(chunks, docs).limit(1).count():
-        raise IndexFault("chunks do not agree with their documents")
-    return chunks, docs, manifest
+    """(chunks, documents, manifest) of a saved index whose counts, ids, dimension and offsets hold."""
+    from lodestar.operators.store import Store
+
+    store = Store.open(spark, path)
+    store.check()
+    return store.chunks(), store.documents(), store.manifest
 
 
 def cached_replies(requests: DataFrame, cache: DataFrame) -> DataFrame:
