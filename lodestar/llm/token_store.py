@@ -17,6 +17,7 @@ names are part of a store, so attempts that were lost or ran twice leave nothing
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -55,6 +56,12 @@ BLANK = re.compile(r"[ \n\t\r]")
 PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
 
 
+#: The same with the letters of Latin-1, none of which any normalization changes but for lower case.
+PLAIN_LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: How byte-level vocabularies spell bytes over 0x7E that are not printable in Latin-1: from U+0121 on; the others are the characters of Latin-1.
+SPELLED = {b: 0x121 + i for i, b in enumerate([*range(0x7F, 0xA1), 0xAD])}
+
+
 def quiet_tokenizer(path: str) -> object:
     """The tokenizer of a file, in a task: without threads of its own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,18 +92,32 @@ class WordEncoder:
         if len(self.known) + len(new) > CACHE:
             self.known, self.before = {}, self.known
             new = words
-        again = {word for word in new if word in self.before}
-        for word in again:
-            self.known[word] = self.before[word]
         rest = []
-        for word in new.difference(again):
-            if m := PLAIN.fullmatch(word):
-                self.known[word] = np.array([t.id for part in m.groups() if part for t in self.model.tokenize(part.lower())], "<u4").tobytes()
+        for word in new:
+            if (ids := self.before.get(word)) is not None:
+                self.known[word] = ids
+            elif m := PLAIN_LATIN.fullmatch(word):
+                letters, signs = m.groups()
+                letters = letters.lower()
+                tokens = self.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(SPELLED))
+                if signs:
+                    tokens += self.model.tokenize(signs)
+                self.known[word] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
             else:
                 rest.append(word)
         for word, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[word] = np.array(x.ids, "<u4").tobytes()
 
+    def meet(self, texts: Iterable[str | None]) -> None:
+        """Learn the words of several texts at once, which is faster; of long ones, of what comes first."""
+        words, size = set(), 0
+        for text in texts:
+            if text and size < STRETCH:
+                part = text[: STRETCH - size]
+                words.update(_words(part)[: None if len(part) == len(text) else -1])
+                size += len(part)
+        self._learn(words)
+
     def __call__(self, text: str) -> Iterator[bytes]:
         """The ids, stretch by stretch."""
         at = 0
@@ -105,12 +126,22 @@ class WordEncoder:
             if end < len(text):
                 m = BLANK.search(text, end)
                 end = m.end() if m else len(text)
-            words = text[at:end].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            words = _words(text[at:end])
             at = end
             self._learn(set(words))
             yield b"".join(map(self.known.__getitem__, words))
 
 
+def _words(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+@functools.lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 # --- the format -------------------------------------------------------------------------------
 
 
@@ -248,7 +279,9 @@ def write(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str], Iter
         encode, stop = encoder(), np.array([end], "<u4").tobytes()
         out = writer = None
         name, rows = "", []
-        for pdf in batches(it):
+        for pdf in batches(it, 256):
+            if hasattr(encode, "meet"):
+                encode.meet(t for t in pdf["text"] if isinstance(t, str))
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 if out is None:
                     name = f"{part:08d}-{roll:06d}-{attempt}.ids.zst"
@@ -350,6 +383,6 @@ def tokenizer_path(name: str) -> str:
 def op11_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the files of all `documents` hold, read back from them."""
     path = f"{shared_dir(spark)}/lodestar/token-files-{uuid.uuid4().hex}"
-    manifest = write(table(spark, sf_dir, "documents"), path, lambda: WordEncoder(tokenizer_path(VOCABULARY)), END)
+    manifest = write(table(spark, sf_dir, "documents"), path, lambda: word_encoder(tokenizer_path(VOCABULARY)), END)
     found = read_all(manifest, path, _crc, "made long")
     return found.join(small_or_shuffled(file_starts(manifest)), "file").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", F.col("made").alias("ids_crc32"))
