@@ -23,6 +23,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 FRAME_IDS, FILE_IDS = 1 << 18, 1 << 25
 LEVEL = 3
 #: Distinct words whose ids a task remembers, and characters of text that it cuts into words at once.
-CACHE, STRETCH = 400_000, 1 << 20
+CACHE, STRETCH = 500_000, 1 << 20
 # Fixed values of the public format: skippable frames, the seek table's and this file's own; the footer.
 SEEK_MAGIC, DOCS_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 CHECKSUMS = 0x80
@@ -84,6 +85,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         new = words.difference(self.known)
@@ -92,22 +94,32 @@ class WordEncoder:
         if len(self.known) + len(new) > CACHE:
             self.known, self.before = {}, self.known
             new = words
-        rest = []
+        rest, known, before, stems, match = [], self.known, self.before, self.stems, PLAIN_LATIN.fullmatch
+        if len(stems) > CACHE:
+            stems.clear()
         for word in new:
-            if (ids := self.before.get(word)) is not None:
-                self.known[word] = ids
-            elif m := PLAIN_LATIN.fullmatch(word):
-                letters, signs = m.groups()
-                letters = letters.lower()
-                tokens = self.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(SPELLED))
+            if word in before:
+                known[word] = before[word]
+            elif m := match(word):
+                stem, signs = m.groups()
+                stem = stem.lower()
+                ids = stems.get(stem)
+                if ids is None:
+                    ids = stems[stem] = self._ids(stem)
                 if signs:
-                    tokens += self.model.tokenize(signs)
-                self.known[word] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+                    end = stems.get(signs)
+                    if end is None:
+                        end = stems[signs] = self._ids(signs)
+                    ids += end
+                known[word] = ids
             else:
                 rest.append(word)
         for word, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[word] = np.array(x.ids, "<u4").tobytes()
 
+    def _ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(SPELLED))]).tobytes()
+
     def meet(self, texts: Iterable[str | None]) -> None:
         """Learn the words of several texts at once, which is faster; of long ones, of what comes first."""
         words, size = set(), 0
@@ -128,8 +140,12 @@ class WordEncoder:
                 end = m.end() if m else len(text)
             words = _words(text[at:end])
             at = end
-            self._learn(set(words))
-            yield b"".join(map(self.known.__getitem__, words))
+            try:
+                ids = b"".join(map(self.known.__getitem__, words))
+            except KeyError:
+                self._learn(set(words))
+                ids = b"".join(map(self.known.__getitem__, words))
+            yield ids
 
 
 def _words(text: str) -> list[str]:
