@@ -97,10 +97,10 @@ def normalize(text: Column, dehyphenate: bool = False, compose: bool = True) ->
     out = F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     if dehyphenate:
         out = F.regexp_replace(out, r"(?U)(\w)-\n([a-z])", "$1$2")
-    out = F.regexp_replace(out, r"(?U)(?<=\S)[ \t]{2,}(?=\S)", " ")
-    out = F.regexp_replace(out, r"[ \t]+(?=\n|\z)", "")
+    out = F.regexp_replace(out, r"(?U)(?<=\S)[ \t]{2,}+(?=\S)", " ")
+    out = F.regexp_replace(out, r"(?<![ \t])[ \t]+(?=\n|\z)", "")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(out, rf"\A{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
 
 
 def dedupe_key(sentence: Column) -> Column:

@@ -6,13 +6,16 @@ All run over whole tables. `documents` are the corpus (each a chunk unless it sa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
-from lodestar.operators import answer, answer_eval, chunking, embedding, evaluate, fusion, index, postings as lists, search
+from lodestar.operators import answer, answer_eval, chunking, embedding, evaluate, fusion, generate, index, search
+from lodestar.operators import postings as lists
 from lodestar.operators.store import Store, metadata_matches
-from lodestar.operators.tables import new_path, spread
+from lodestar.operators.tables import new_path, spread, stored
 from lodestar.sources.files import parse_pages
 from lodestar.streaming.ingest import latency_by_window
 
@@ -187,11 +190,19 @@ def section_crossing(spark, d):
     """Chunks of 64 tokens against paragraphs, a paragraph being a line of the document."""
     docs = _table(spark, d, "documents").select("doc_id", "text")
     lines = F.split("text", "\n")
-    begins = F.aggregate(lines, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.element_at(a, -1) + F.length(s) + 1)))
-    starts = docs.select("doc_id", F.explode(F.slice(begins, 1, F.size(lines))).alias("start"))
+    each = docs.select("doc_id", F.posexplode(lines).alias("nth", "line"))
+    before = Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    starts = each.select("doc_id", F.coalesce(F.sum(F.length("line").cast("long") + 1).over(before), F.lit(0)).alias("start"))
     return chunking.section_crossing(_fixed(spark, d, 64, 8), starts)
 
 
+def page_section_crossing(spark, d):
+    """Chunks of 64 tokens of the pages' converted text against their own sections, by page language."""
+    pages = parse_pages(_table(spark, d, "pages")).select(F.col("page_id").alias("doc_id"), "text", "sections")
+    starts = pages.select("doc_id", F.explode("sections.start_char").alias("start"))
+    return chunking.section_crossing(chunking.fixed_chunks(pages.select("doc_id", "text"), 64, 8), starts)
+
+
 CROSSING_SQL = f"""SELECT count(*) AS chunks, count(*) FILTER (WHERE contains(text, E'\\n')) AS crossing, round(count(*) FILTER (WHERE contains(text, E'\\n')) / count(*), 6) AS rate FROM ({chunk_sql(64, 8)})"""
 
 
@@ -726,6 +737,31 @@ def cache_append(spark, d):
 APPEND_SQL = f"WITH {bm25_sql(k=1)} SELECT sha256('model:' || query_id) AS key, 'model' AS model FROM hits WHERE query_id % 2 = 1"
 
 
+def _model(prompt: str) -> str:
+    """A model for tests: replies that cannot be used, by the length of the question, the first time or always."""
+    messages = json.loads(prompt)
+    n = len(messages[1]["content"].rsplit("Question: ", 1)[1])
+    if n % 5 == 0 or n % 3 == 0 and len(messages) == 2:
+        return "I think so."
+    return json.dumps({"answer": f"{n}", "abstained": n % 2 == 0, "citations": []})
+
+
+def repair_round(spark, d):
+    """Replies of a model recorded, with a round of repair, then replayed without it."""
+    items = _read_hits(spark, d, 2).join(_asked(spark, d).select("query_id", F.col("text").alias("question")), "query_id").select("query_id", "question", (F.col("rank") - 1).alias("context"), "text")
+    items = stored(items, "items")
+    empty = spark.createDataFrame([], "key string, model string, content string")
+    made = generate.generate(items, _model, empty, "test")
+    again = generate.generate(items, None, made.recorded, "test", replay_only=True)
+    told = lambda g, run: g.replies.select(F.lit(run).alias("run"), "query_id", F.size("contents").cast("long").alias("n_replies"), "valid", "content", "n_hits", "n_calls")
+    return told(made, "recorded").unionByName(told(again, "replayed"))
+
+
+REPAIR_SQL = f"""WITH {bm25_sql(k=1)}, it AS (SELECT item_id AS query_id, length(text) AS n FROM benchmark WHERE item_id IN (SELECT query_id FROM hits)),
+re AS (SELECT query_id, CASE WHEN n % 5 = 0 OR n % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS n_replies, n % 5 <> 0 AS valid, CASE WHEN n % 5 = 0 THEN 'I think so.' ELSE '{{"answer": "' || n || '", "abstained": ' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ', "citations": []}}' END AS content FROM it)
+SELECT 'recorded' AS run, *, 0::BIGINT AS n_hits, n_replies AS n_calls FROM re UNION ALL SELECT 'replayed', *, n_replies, 0 FROM re"""
+
+
 def report_recheck(spark, d):
     """A report of the grades, two of its figures changed, against the grades."""
     grades = _grading(spark, d)
@@ -802,6 +838,8 @@ QUERIES = {
     "answer_items": (answer_items, ITEMS_SQL),
     "cache_replay": (cache_replay, REPLAY_SQL),
     "cache_append": (cache_append, APPEND_SQL),
+    "repair_round": (repair_round, REPAIR_SQL),
+    "page_section_crossing": (page_section_crossing, None),
     "report_recheck": (report_recheck, RECHECK_SQL),
     "gold_removal_contexts": (gold_removal_contexts, GOLD_SQL),
     "citation_grading": (citation_grading, f"WITH {GRADES_SQL} SELECT * FROM gr2"),

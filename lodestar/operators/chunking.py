@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import chunk_id, content_hash, count_tokens
@@ -17,6 +17,10 @@ from lodestar.functions.text import chunk_id, content_hash, count_tokens
 SEPARATORS = (r"\n\s*\n", r"\n", r"(?<=[.!?])[\"')\]]?\s+", r"\s+")
 
 
+#: Characters of a document whose sections and chunks are put in order in one group.
+SPAN = 1 << 20
+
+
 @dataclass(frozen=True)
 class Config:
     strategy: str = "structure"
@@ -203,12 +207,27 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
 
 
 def section_crossing(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """One row: chunks, crossing, rate. A chunk crosses if its first and last characters lie in different sections (doc_id, start, end) of its document."""
-    spans = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    place = lambda c: F.size(F.filter("starts", lambda s: s <= c))
-    both = chunks.select("doc_id", "start_char", "end_char").join(spans, "doc_id")
-    crosses = place(F.col("start_char")) != place(F.col("end_char") - 1)
-    return both.agg(F.count("*").alias("chunks"), F.count_if(crosses).alias("crossing"), F.round(F.count_if(crosses) / F.count("*"), 6).alias("rate"))
+    """One row: chunks, crossing, rate. A chunk crosses if its first and last characters lie in different sections of its document.
+
+    `chunks` (doc_id, start_char, end_char) of documents that have `sections` (doc_id, start). The starts of
+    sections and both ends of the chunks are put in one order for each document and part of it (SPAN
+    characters), and each end takes the last start before it, carried over from earlier parts by a second
+    pass over one row a part: the work is that of a sort, and a document that is very long is many groups.
+    """
+    part = lambda at: F.floor(at / SPAN).alias("part")
+    known = chunks.join(sections.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_chunk", F.monotonically_increasing_id())
+    ends = known.select("doc_id", F.explode(F.array(F.struct(F.col("start_char").cast("long").alias("at"), F.lit(True).alias("first")), F.struct((F.col("end_char") - 1).cast("long").alias("at"), F.lit(False).alias("first")))).alias("x"), "_chunk")
+    marks = ends.select("doc_id", "x.at", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("start"), "_chunk", "x.first")
+    starts = sections.select("doc_id", F.col("start").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("start").cast("long").alias("start"), F.lit(None).cast("long").alias("_chunk"), F.lit(None).cast("boolean").alias("first"))
+    both = marks.unionByName(starts).withColumn("part", part(F.col("at")))
+    carried = starts.groupBy("doc_id", part(F.col("at"))).agg(F.max("start").alias("latest"))
+    parts = both.select("doc_id", "part").distinct().join(carried, ["doc_id", "part"], "left")
+    before = parts.select("doc_id", "part", F.max("latest").over(Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    order = Window.partitionBy("doc_id", "part").orderBy("at", "kind")
+    placed = both.withColumn("own", F.last("start", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("kind = 1")
+    found = placed.join(before, ["doc_id", "part"]).select("_chunk", "first", F.coalesce("own", "before", F.lit(-1)).alias("section"))
+    each = found.groupBy("_chunk").agg(F.min("section").alias("a"), F.max("section").alias("b"))
+    return each.agg(F.count("*").alias("chunks"), F.count_if(F.col("a") != F.col("b")).alias("crossing"), F.round(F.count_if(F.col("a") != F.col("b")) / F.count("*"), 6).alias("rate"))
 
 
 def verify(chunks: DataFrame, docs: DataFrame) -> DataFrame:

@@ -245,7 +245,7 @@ def l2_normalize(vector: Column) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: x.cast("double") / size)).otherwise(F.transform(vector, lambda x: x.cast("double")))
 
 
-def valid_vector(vector: Column, dimension: int) -> Column:
+def valid_vector(vector: Column, dimension: int | Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce((F.size(vector) == dimension) & finite, F.lit(False))
 
@@ -254,15 +254,21 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, query_block: in
     """Exact cosine top k: (query_id, chunk_id, score, rank).
 
     `vectors` (chunk_id, embedding), filtered beforehand; `queries` (query_id, embedding). Zero and
-    null query vectors find nothing. The queries are broadcast in blocks of at most `query_block`
+    null query vectors find nothing, nor do those with null or non-finite parts; stored vectors of
+    that kind, or of another length than the queries', are not found. Queries of two lengths are a ValueError. The queries are broadcast in blocks of at most `query_block`
     vectors; each task multiplies so many of its vectors with the block that CELLS scores are held,
     and keeps its own first k of each query, so what is shuffled is k rows a query and task.
     """
     if k < 1:
         raise ValueError("k must be positive")
     spark = vectors.sparkSession
-    usable = queries.where("embedding is not null and query_id is not null").where(norm(F.col("embedding")) > 0).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = max(1, -(-usable.count() // query_block))
+    sound = queries.where("query_id is not null").where(valid_vector(F.col("embedding"), F.size("embedding")))
+    usable = sound.where(norm(F.col("embedding")) > 0).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = usable.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if asked[1] != asked[2]:
+        raise ValueError("queries have vectors of different lengths")
+    vectors = vectors.where(valid_vector(F.col("embedding"), asked[1] or 0))
+    blocks = max(1, -(-asked[0] // query_block))
     schema, arrow = _hits_schema(queries, vectors)
     parts = []
     for block in range(blocks):
@@ -282,7 +288,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, query_block: in
                     best.add(np.round(matrix @ (x / np.where(size > 0, size, 1)).T, DIGITS), np.array(batch.column("chunk_id").to_pylist(), object))
             yield best.as_arrow(ids, arrow)
 
-        parts.append(vectors.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(score, schema))
+        parts.append(vectors.select("chunk_id", "embedding").mapInArrow(score, schema))
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)

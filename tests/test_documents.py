@@ -218,3 +218,46 @@ def test_queries_are_registered_with_sql():
     from lodestar.jobs.queries import QUERIES
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and {k for k, (_, sql) in QUERIES.items() if sql} <= set(__spark_entry__.oracle_sql())
+
+
+def test_runs_of_blanks_take_linear_time(spark):
+    import time
+
+    from lodestar.functions.text import normalize
+    from lodestar.sources import files
+
+    blanks = " " * (1 << 20)
+    for text, want in ((blanks + "a", "a"), ("a" + blanks + "b" + blanks, "a b"), ("a\n" + blanks + "\nb", "a\n\nb"), (blanks, "")):
+        began = time.time()
+        assert files.normalize(text) == want
+        assert time.time() - began < 5
+        began = time.time()
+        assert spark.createDataFrame([(text,)], "t string").select(normalize(F.col("t"))).first()[0] == want
+        assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("span", [1 << 20, 7])
+def test_section_crossing_against_brute_force(spark, monkeypatch, span):
+    import random
+
+    from lodestar.operators import chunking
+
+    monkeypatch.setattr(chunking, "SPAN", span)
+    rng = random.Random(span)
+    sections = {d: sorted(rng.sample(range(100), rng.randrange(1, 12))) for d in range(8)}
+    chunks = [(rng.randrange(9), s, s + rng.randrange(1, 30)) for s in (rng.randrange(100) for _ in range(200))]
+    own = [(d, s, e) for d, s, e in chunks if d in sections]
+    place = lambda d, c: sum(x <= c for x in sections[d])
+    got = chunking.section_crossing(spark.createDataFrame(chunks, "doc_id long, start_char long, end_char long"), spark.createDataFrame([(d, s) for d, v in sections.items() for s in v], "doc_id long, start long")).first()
+    assert (got["chunks"], got["crossing"]) == (len(own), sum(place(d, s) != place(d, e - 1) for d, s, e in own))
+
+
+def test_dense_search_of_odd_vectors(spark):
+    from lodestar.operators import search
+
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0]), ("c", [1.0, None]), ("d", None), ("e", [float("nan"), 1.0]), ("f", [0.0, 0.0]), ("g", [1.0, 1.0, 1.0])], "chunk_id string, embedding array<double>")
+    asked = lambda *rows: spark.createDataFrame(list(rows), "query_id string, embedding array<double>")
+    assert [r["chunk_id"] for r in search.dense_search(vectors, asked(("q", [1.0, 0.0]), ("n", None), ("z", [0.0, 0.0]), ("x", [None, 1.0])), 5).orderBy("rank").collect()] == ["a", "f"]
+    assert search.dense_search(vectors, asked(("n", None)), 5).count() == 0
+    with pytest.raises(ValueError, match="lengths"):
+        search.dense_search(vectors, asked(("q", [1.0, 0.0]), ("p", [1.0])), 5)
