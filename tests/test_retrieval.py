@@ -176,6 +176,26 @@ def test_bootstrap(spark):
     assert (got["ci_low"], got["ci_high"]) == (means[4], means[195])
 
 
+@pytest.mark.parametrize(("blocks", "ahead"), [(1, 1 << 22), (7, 50), (64, 1000)])
+def test_bootstrap_in_blocks(spark, monkeypatch, blocks, ahead):
+    monkeypatch.setattr(evaluate, "AHEAD", ahead)
+    rng = random.Random(9)
+    groups = {f"m{n}": [rng.uniform(-1, 1.2) for _ in range(n)] for n in (1, 2, 37, 64, 300)}
+    rows = [(m, f"q{i:04d}", g, 0.0) for m, gaps in groups.items() for i, g in enumerate(gaps)]
+    rng.shuffle(rows)
+    got = {r["metric"]: r for r in evaluate.bootstrap(spark.createDataFrame(rows, "metric string, query_id string, a double, b double"), ["metric"], 150, 0.9, 5, blocks).collect()}
+    for m, gaps in groups.items():
+        own, means = random.Random(5), []
+        for _ in range(150):
+            total = 0.0
+            for _ in gaps:
+                total += gaps[own.randrange(len(gaps))]
+            means.append(total / len(gaps))
+        assert (got[m]["n"], got[m]["n_positive"], got[m]["n_negative"]) == (len(gaps), sum(x > 0 for x in means), sum(x < 0 for x in means))
+        means.sort()
+        assert (got[m]["ci_low"], got[m]["ci_high"]) == (means[7], means[142])
+
+
 def test_depth(spark):
     ranked = lambda s: spark.createDataFrame([("q", c, i) for i, c in enumerate(s, 1)], "query_id string, doc_id string, rank long")
     got = evaluate.enough_depth(ranked("aaaabcd"), 3, 2, 100).first()
