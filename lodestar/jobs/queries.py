@@ -16,6 +16,7 @@ from lodestar.operators import answer, answer_eval, chunking, embedding, evaluat
 from lodestar.operators import postings as lists
 from lodestar.operators.store import Store, metadata_matches
 from lodestar.operators.tables import new_path, spread, stored
+from lodestar.sources.evaluation import numbered_lines
 from lodestar.sources.files import parse_pages
 from lodestar.streaming.ingest import latency_by_window
 
@@ -148,6 +149,20 @@ def token_counts(spark, d):
 
 TOKENS_SQL = r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_tokens FROM documents"
 
+
+def broken_lines(spark, d):
+    """Documents as JSON lines, some of them cut short, and read with their places: how many of the lines, the broken ones and the distinct places there are."""
+    path = new_path(spark, "lines")
+    line = F.to_json(F.struct("doc_id", "text"))
+    _table(spark, d, "documents").select(F.when(F.col("doc_id") % 97 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
+    lines = numbered_lines(spark, path)
+    broken = F.from_json("value", "doc_id long, text string, broken string", {"columnNameOfCorruptRecord": "broken"})["broken"].isNotNull()
+    each = lines.groupBy("file").agg(F.count("*").alias("n"), F.count_if(broken).alias("broken"), F.countDistinct("line").alias("places"), F.max("line").alias("last"))
+    return each.agg(F.sum("n").alias("n_lines"), F.sum("broken").alias("n_broken"), F.sum("places").alias("n_places"), F.sum("last").alias("last_lines"))
+
+
+BROKEN_SQL = "SELECT count(*) AS n_lines, count(*) FILTER (WHERE doc_id % 97 = 0) AS n_broken, count(*) AS n_places, count(*) AS last_lines FROM documents"
+
 # --- chunks ----------------------------------------------------------------------------------
 
 
@@ -792,6 +807,7 @@ QUERIES = {
     "corpus_slugs": (corpus_slugs, SLUGS_SQL),
     "normalized_text": (normalized_text, NORMALIZED_SQL),
     "token_counts": (token_counts, TOKENS_SQL),
+    "broken_lines": (broken_lines, BROKEN_SQL),
     "fixed_chunks": (fixed_chunks, FIXED_SQL),
     "chunk_statistics": (chunk_statistics, CHUNK_STATS_SQL),
     "verify_chunks": (verify_chunks, VERIFY_SQL),

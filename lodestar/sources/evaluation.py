@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import content_hash, document_id
@@ -13,12 +13,32 @@ class BadSet(ValueError):
     """An evaluation set or file that does not hold together."""
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of text files, lines counted from 1 in each file.
+
+    A file is read in splits; the lines of each split are counted, and what stands before a split is
+    added up over the splits of its file, a row each. No file is read in one task.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    counts = rows.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("file", "split", (before - F.col("first") + 1).alias("shift"))
+    return rows.join(starts, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
+def _first_line(lines: DataFrame) -> str:
+    """The first of some numbered lines, as FILE: line N."""
+    found = lines.select("file", "line").orderBy("file", "line").first()
+    return f"{found['file']}: line {found['line']}"
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; a line that is no JSON is an error that names it."""
+    """JSON lines; a line that is no JSON object is an error that names its file and number (only then are lines counted)."""
     rows = spark.read.schema(f"{schema}, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
     wrong = rows.where("broken is not null").take(1)
     if wrong:
-        raise BadSet(f"{path}: not a JSON object: {wrong[0]['broken'][:80]!r}")
+        same = numbered_lines(spark, path).where(F.trim("value") == wrong[0]["broken"].strip())
+        raise BadSet(f"{_first_line(same)} is not a JSON object: {wrong[0]['broken'][:80]!r}")
     return rows.drop("broken")
 
 
@@ -75,11 +95,17 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
     """(key, content) of a reply cache; another format or two contents of one key are errors."""
-    rows = _json(spark, path, "schema_version int, key string, model string, content string")
-    if rows.where("schema_version is null or schema_version <> 1 or key is null or content is null").limit(1).count():
-        raise BadSet(f"{path}: an entry of another format")
-    if rows.groupBy("key").agg(F.countDistinct("content").alias("n")).where("n > 1").limit(1).count():
-        raise BadSet(f"{path}: a key with two contents")
+    schema = "schema_version int, key string, model string, content string"
+    rows = _json(spark, path, schema)
+    lines = lambda: numbered_lines(spark, path).where("trim(value) <> ''").withColumn("x", F.from_json("value", schema))
+    other = "schema_version is null or schema_version <> 1 or key is null or content is null"
+    if rows.where(other).limit(1).count():
+        raise BadSet(f"{_first_line(lines().select('file', 'line', 'x.*').where(other))} is an entry of another format")
+    torn = rows.groupBy("key").agg(F.countDistinct("content").alias("n")).where("n > 1").take(1)
+    if torn:
+        own = lines().where(F.col("x.key") == torn[0]["key"])
+        first = own.select(F.min_by("x.content", F.struct("file", "line")).alias("content")).first()["content"]
+        raise BadSet(f"{_first_line(own.where(F.col('x.content') != first))} has another content for key {torn[0]['key']!r}")
     return rows.select("key", "content").distinct()
 
 

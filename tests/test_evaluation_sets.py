@@ -59,3 +59,28 @@ def test_reply_cache(spark, tmp_path):
         lines(tmp_path / "b.jsonl", bad)
         with pytest.raises(sets.BadSet):
             sets.read_replies(spark, str(tmp_path / "b.jsonl"))
+
+
+def test_errors_name_file_and_line(spark, tmp_path):
+    import json
+
+    good = [json.dumps({"schema_version": 1, "key": f"k{i}", "model": "m", "content": "c" * (i % 50)}) for i in range(300)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # several splits in a file
+    try:
+        cases = {
+            "broken": (good[:250] + ['{"key": '] + good[250:], "line 251 is not a JSON object"),
+            "format": (good[:100] + ["", '{"schema_version": 2, "key": "x", "content": "y"}'] + good[100:], "line 102 is an entry of another format"),
+            "torn": (good + ["", good[7].replace('"k7"', '"k9"')], "line 302 has another content for key 'k9'"),
+        }
+        for name, (lines, said) in cases.items():
+            (tmp_path / name).mkdir()
+            (tmp_path / name / "a.jsonl").write_text("\n".join(lines) + "\n")
+            if name != "torn":
+                (tmp_path / name / "b.jsonl").write_text("\n".join(good[:20]) + "\n")
+            with pytest.raises(sets.BadSet, match=f"a.jsonl: {said}"):
+                sets.read_replies(spark, str(tmp_path / name))
+        rows = sets.numbered_lines(spark, str(tmp_path / "torn")).collect()
+        assert [r["value"] for r in sorted(rows, key=lambda r: r["line"])] == cases["torn"][0] and {r["line"] for r in rows} == set(range(1, 303))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
