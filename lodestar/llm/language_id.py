@@ -24,8 +24,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bound of the training sample: documents of each language, in expectation. All their words are learned from.
 SAMPLE_DOCS = 1500
 ROUNDS, SMOOTHING = 3, 0.05
-#: Letters of a piece at most, and of the words that are worked out side by side; longer ones go one by one.
-LONGEST_PIECE, SIDE_BY_SIDE = 8, 32
+#: Letters of the words that are worked out side by side; longer ones go one by one.
+SIDE_BY_SIDE = 32
 #: Places of a long word that are looked up at once.
 STRETCH = 1 << 14
 CACHE = 400_000
@@ -40,13 +40,14 @@ def pieces_of(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return ["", *sorted(p for p in pieces if 0 < len(p) <= LONGEST_PIECE and re.fullmatch(r"▁?[^\W\d_]*", p))]
+    return ["", *sorted(p for p in pieces if p and re.fullmatch(r"▁?[^\W\d_]*", p))]
 
 
 class Lattice:
     """Finds all pieces at all places of many words at once."""
 
     def __init__(self, pieces: list[str]):
+        self.longest = max(map(len, pieces))
         self.keys = np.zeros(1 << 18, U)
         self.ids = np.full(1 << 18, -1, np.int32)
         for i, p in enumerate(pieces):
@@ -87,7 +88,7 @@ class Lattice:
             out = []
             for s in range(n + 1):
                 h = np.zeros(len(index), U)
-                for e in range(s + 1, min(s + LONGEST_PIECE, n + 1) + 1):
+                for e in range(s + 1, min(s + self.longest, n + 1) + 1):
                     h = self._next(h, chars[:, e - 1])
                     ids = self.find(h)
                     if e == s + 1:
@@ -102,9 +103,9 @@ class Lattice:
         chars = np.frombuffer(("▁" + word).encode("utf-32-le", "surrogatepass"), "<u4").astype(U)
         for at in range(0, len(chars), STRETCH):
             n = min(STRETCH, len(chars) - at)
-            ids = np.full((n, LONGEST_PIECE), -1, np.int32)
+            ids = np.full((n, self.longest), -1, np.int32)
             h = np.zeros(n, U)
-            for k in range(min(LONGEST_PIECE, len(chars) - at)):
+            for k in range(min(self.longest, len(chars) - at)):
                 fit = min(n, len(chars) - at - k)
                 h = self._next(h[:fit], chars[at + k : at + k + fit])
                 ids[:fit, k] = self.find(h)
@@ -112,10 +113,10 @@ class Lattice:
             yield ids
 
     def log_long(self, word: str, prob: np.ndarray) -> np.ndarray:
-        """The forward algorithm over one word of any length, the last LONGEST_PIECE sums of each language at a time, scaled."""
+        """The forward algorithm over one word of any length, as many sums of each language as the longest piece has letters at a time, scaled."""
         none = np.zeros((1, prob.shape[1]))
         table = np.concatenate([prob, none])
-        ahead = np.zeros((LONGEST_PIECE + 1, prob.shape[1]))  # sums that reach the place itself and those after it
+        ahead = np.zeros((self.longest + 1, prob.shape[1]))  # sums that reach the place itself and those after it
         ahead[0] = 1
         log = np.zeros(prob.shape[1])
         for ids in self.stretches(word):
@@ -171,10 +172,10 @@ class Lattice:
         front, back = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
         front[0] = back[n] = 0
         for s in range(n):
-            m = min(LONGEST_PIECE, n - s)
+            m = min(self.longest, n - s)
             front[s + 1 : s + 1 + m] = np.logaddexp(front[s + 1 : s + 1 + m], front[s] + logs[s, :m])
         for s in range(n - 1, -1, -1):
-            m = min(LONGEST_PIECE, n - s)
+            m = min(self.longest, n - s)
             back[s] = np.logaddexp.reduce(logs[s, :m] + back[s + 1 : s + 1 + m])
         s, k = np.nonzero(ids >= 0)
         return np.bincount(ids[s, k], np.exp(front[s] + logs[s, k] + back[s + 1 + k] - front[n]), len(prob))

@@ -849,13 +849,27 @@ def segmentations(word, pieces):
         yield []
         return
     known = set(pieces[1:])
-    for n in range(1, min(len(word), language_id.LONGEST_PIECE) + 1):
+    for n in range(1, len(word) + 1):
         if word[:n] in known or n == 1:
             own = pieces.index(word[:n]) if word[:n] in known else 0
             for rest in segmentations(word[n:], pieces):
                 yield [own, *rest]
 
 
+def test_no_piece_of_the_vocabulary_is_left_out():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=language_id.VOCABULARY)
+    wanted = {p for p in (model.id_to_piece(i).lower() for i in range(model.get_piece_size())) if re.fullmatch(r"▁?[^\W\d_]*", p)}
+    pieces = language_id.pieces_of(language_id.VOCABULARY)
+    assert set(pieces[1:]) == wanted and max(map(len, pieces)) > 8
+    lattice, prob = language_id.Lattice(pieces), np.random.default_rng(2).random((len(pieces), 2)) / 100
+    long = next(p for p in pieces if len(p) > 12 and p[0] == "▁")[1:]
+    for word in (long, "zz" + long):
+        want = [np.log(sum(np.prod(prob[own, k]) for own in segmentations("▁" + word, pieces))) for k in range(2)]
+        assert lattice.log_probabilities([word], prob)[0] == pytest.approx(want) and lattice.log_long(word, prob) == pytest.approx(want)
+
+
 def test_fit_and_identify_match_brute_force(spark, monkeypatch):
     pieces = ["", "▁", "▁a", "a", "b", "c", "ab", "ba", "ca", "abc"]
     monkeypatch.setattr(language_id, "pieces_of", lambda path: pieces)
