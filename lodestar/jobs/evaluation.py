@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 from lodestar.jobs.options import MODES, Request
 from lodestar.jobs.service import Index
 from lodestar.operators import evaluate
+from lodestar.operators.tables import stored
 
 TOP, DEPTH = 10, 50
 
 
-def run(held: Index, queries: DataFrame, judged: DataFrame, modes: Sequence[str] = MODES, k: int = TOP, depth: int = DEPTH, rerank: bool = False) -> tuple[DataFrame, dict]:
+def run(held: Index, queries: DataFrame, judged: DataFrame, modes: Sequence[str] = MODES, k: int = TOP, depth: int = DEPTH, rerank: bool = False, timed: int = 0) -> tuple[DataFrame, dict]:
     """(metrics mode, query_id, metric, value; report) of the scored queries.
 
     Each mode is one batch over all queries. Where hits of one document crowd out others, the mode
-    searches again at twice the depth for the queries that are short of k documents.
+    searches again at twice the depth for the queries that are short of k documents. The report has the
+    seconds that a mode's searches took and, if `timed` is over 0, the latencies of so many single ones.
     """
     kinds = evaluate.query_kinds(queries, judged)
-    scored = queries.join(kinds.where("kind = 'scored'"), "query_id", "left_semi").persist()
+    scored = stored(queries.join(kinds.where("kind = 'scored'"), "query_id", "left_semi"), "scored")
     qrels = judged.join(scored.select("query_id"), "query_id", "left_semi")
     owners = held.chunks.select("chunk_id", "doc_id")
     most = max(held.chunks.count(), 1)
@@ -36,13 +38,16 @@ def run(held: Index, queries: DataFrame, judged: DataFrame, modes: Sequence[str]
             options = Request("x", min(n, 100), mode, candidates=min(max(n, DEPTH), 1000) if mode == "hybrid" or rerank else None, rerank=rerank)
             return held.search(asked, options, n).join(owners, "chunk_id").select("query_id", "doc_id", "rank")
 
-        hits = evaluate.deepen(search, scored, k, min(depth, most), most).persist()
+        hits = stored(evaluate.deepen(search, scored, k, min(depth, most), most), "hits")
+        seconds = round(time.time() - began, 3)
         best = evaluate.unique_documents(hits).where(F.col("rank") <= k)
         own = evaluate.long_form(evaluate.score_queries(best, qrels), mode)
         found = best.groupBy("query_id").count()
         each = scored.select("query_id").join(hits.groupBy("query_id").agg(F.max("depth").alias("depth")), "query_id", "left").join(found, "query_id", "left")
         seen = each.agg(F.min("depth"), F.max("depth"), F.avg("depth"), F.count_if(F.coalesce("count", F.lit(0)) < k)).first()
-        report["modes"][mode] = {"depth": [seen[0], seen[1]], "mean_depth": seen[2], "short_queries": seen[3], "seconds": round(time.time() - began, 3)}
+        report["modes"][mode] = {"depth": [seen[0], seen[1]], "mean_depth": seen[2], "short_queries": seen[3], "seconds": seconds}
+        if timed:
+            report["modes"][mode]["latency"] = latencies(held, scored, mode, timed)
         parts = own if parts is None else parts.unionByName(own)
     for r in evaluate.macro(parts).collect():
         report["modes"][r["mode"]][r["metric"]] = r["mean"]

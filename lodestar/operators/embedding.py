@@ -53,34 +53,39 @@ def hashing_embedder(dimension: int = DIMENSION, bigrams: bool = True) -> Callab
     return embed
 
 
-def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 32) -> Callable[[Column], Column]:
-    """A column function around a model: `load` runs once in each worker; blank text is a zero vector without a call to the model."""
+def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 32, dimension: int | None = None) -> Callable[[Column], Column]:
+    """A column function around a model: `load` runs once in each worker; blank text is a zero vector without a call to the model.
+
+    `dimension` is the model's width, which it must then return; without it blank texts have the width
+    that the worker has seen, and are null before it has seen any.
+    """
 
     @F.pandas_udf("array<float>")
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        model, width = load(), dimension
         for series in texts:
             filled = [(i, t) for i, t in enumerate(series) if t and t.strip()]
             rows: dict[int, np.ndarray] = {}
             for at in range(0, len(filled), batch):
                 part = filled[at : at + batch]
                 out = np.asarray(model([t for _, t in part]), np.float32)
-                if out.ndim != 2 or len(out) != len(part) or not np.isfinite(out).all():
+                if out.ndim != 2 or len(out) != len(part) or not np.isfinite(out).all() or out.shape[1] != (width or out.shape[1]):
                     raise ValueError("the model returned a wrong shape or values that are not finite")
+                width = out.shape[1]
                 out = out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-30)
                 rows.update(zip([i for i, _ in part], out, strict=True))
-            width = len(next(iter(rows.values()))) if rows else 0
-            yield pd.Series([rows.get(i, np.zeros(width, np.float32)) for i in range(len(series))])
+            blank = np.zeros(width, np.float32) if width else None
+            yield pd.Series([rows.get(i, blank) for i in range(len(series))], dtype=object)
 
     return embed
 
 
-def embedder(spec: str, loader: Callable[[str], Callable[[], Callable]] | None = None) -> Callable[[Column], Column]:
-    """From a spec: `hashing`, `hashing-<dimension>`, with or without `-bigrams` at the end, or `<kind>:<model>` for a loader of models."""
+def embedder(spec: str, loader: Callable[[str], Callable[[], Callable]] | None = None, dimension: int | None = None) -> Callable[[Column], Column]:
+    """From a spec: `hashing`, `hashing-<dimension>`, with or without `-bigrams` at the end, or `<kind>:<model>` for a loader of models of width `dimension`."""
     if spec == "hashing":
         return hashing_embedder()
     if m := re.fullmatch(r"hashing-(\d+)(-bigrams)?", spec):
         return hashing_embedder(int(m[1]), bool(m[2]))
     if loader is None:
         raise ValueError(f"unknown embedder: {spec}")
-    return model_embedder(loader(spec))
+    return model_embedder(loader(spec), dimension=dimension)

@@ -204,10 +204,10 @@ def deepen(search: Callable[[DataFrame, int], DataFrame], queries: DataFrame, k:
     """As `enough_depth` for rankings that change with their depth (fusion, reranking): searches again, deeper, for the queries left."""
     left, parts = queries, []
     while True:
-        hits = search(left, depth)
+        hits = stored(search(left, depth), "deepened")
         counts = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"))
         done = (F.col("docs") >= k) | (F.col("hits") < depth)
-        state = left.join(counts, "query_id", "left").na.fill(0, ["hits", "docs"]).withColumn("done", done | F.lit(depth >= most)).persist()
+        state = stored(left.join(counts, "query_id", "left").na.fill(0, ["hits", "docs"]).withColumn("done", done | F.lit(depth >= most)), "depths")
         ready = state.where("done").select("query_id")
         parts.append(hits.join(ready, "query_id", "left_semi").withColumn("depth", F.lit(depth).cast("long")))
         left = state.where("not done").drop("hits", "docs", "done")

@@ -6,8 +6,10 @@ query and chunk, which costs one shuffle where full outer joins would cost one f
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +119,32 @@ def overlap_scorer(texts: DataFrame, queries: DataFrame) -> Callable[[DataFrame]
         return both.withColumn("new_score", F.round(share, 6)).drop("asked", "chunk_text")
 
     return score
+
+
+def pair_scorer(texts: DataFrame, queries: DataFrame, load: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]], batch: int = 64) -> Callable[[DataFrame], DataFrame]:
+    """A scorer around a model of (query, text) pairs: `load` runs once in each task, the model gets `batch` pairs at a time.
+
+    `texts` (chunk_id, text), `queries` (query_id, text); a null text is an empty one. A model that
+    returns another number of scores, or one that is not finite, fails the job.
+    """
+    if batch < 1:
+        raise ValueError("a batch has at least one pair")
+
+    @F.pandas_udf("double")
+    def scores(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for asked, text in pairs:
+            both, out = list(zip(asked.fillna(""), text.fillna(""), strict=True)), []
+            for at in range(0, len(both), batch):
+                part = both[at : at + batch]
+                own = np.asarray(model(part), np.float64)
+                if own.shape != (len(part),) or not np.isfinite(own).all():
+                    raise ValueError("the model returned another number of scores than pairs, or one that is not finite")
+                out.append(own)
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    def score(hits: DataFrame) -> DataFrame:
+        both = hits.join(queries.select("query_id", F.col("text").alias("asked")), "query_id").join(texts.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id")
+        return both.withColumn("new_score", scores("asked", "chunk_text")).drop("asked", "chunk_text")
+
+    return score

@@ -32,7 +32,8 @@ def test_ranked_set_and_run(spark, ranked):
     assert {r["set_id"]: r["text"] for r in docs.collect()}["3"] == "Rivers carry water."
     embed = embedding.hashing_embedder()
     chunks = chunking.chunk_documents(docs, chunking.Config("fixed", 16, 0, 0)).withColumn("embedding", embed("embedding_text")).persist()
-    metrics, report = evaluation.run(Index(chunks, "hashing"), queries, sets.on_documents(judged, docs), k=2, depth=2)
+    metrics, report = evaluation.run(Index(chunks, "hashing"), queries, sets.on_documents(judged, docs), k=2, depth=2, timed=1)
+    assert all(m["latency"]["n"] == 1 and m["latency"]["p95"] > 0 and m["seconds"] > 0 for m in report["modes"].values())
     assert report["queries"] == {"scored": 2} and all(report["modes"][m]["mrr@10"] == 1.0 for m in ("dense", "lexical", "hybrid"))
     assert metrics.count() == 3 * 2 * 8 and "| hybrid |" in evaluation.as_markdown(report)
     with pytest.raises(sets.BadSet):

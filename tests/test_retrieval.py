@@ -246,3 +246,33 @@ def test_grading(spark, content, ok, valid):
     assert (got["parse_ok"], got["n_valid"], got["citation_recall"], got["abstention_correct"]) == (ok, valid, float(valid), ok)
     total = answer.aggregate_grades(answer.grade(replies, contexts, gold)).first()
     assert total["n_items"] == 1 and total["correct_abstention_rate"] is None
+
+
+def test_models_score_pairs_and_embed_in_batches(spark):
+    import numpy as np
+
+    from lodestar.operators import embedding
+
+    texts = spark.createDataFrame([("a", "one two"), ("b", "one"), ("c", None)], "chunk_id string, text string")
+    queries = spark.createDataFrame([("q", "one two")], "query_id string, text string")
+
+    def load():
+        def model(pairs):
+            assert len(pairs) <= 2
+            return [len(set(q.split()) & set(t.split())) for q, t in pairs]
+
+        return model
+
+    hits = hits_of(spark, [("c", 3, 1), ("b", 2, 2), ("a", 1, 3)])
+    assert order_of(fusion.rerank(hits, fusion.pair_scorer(texts, queries, load, 2), 3)) == [("a", 2.0), ("b", 1.0), ("c", 0.0)]
+    for bad in (lambda: lambda pairs: [1.0], lambda: lambda pairs: [float("nan")] * len(pairs)):
+        with pytest.raises(Exception, match="number of scores"):
+            fusion.rerank(hits, fusion.pair_scorer(texts, queries, bad), 3).collect()
+    model = lambda: lambda rows: np.ones((len(rows), 3))
+    rows = spark.createDataFrame([(1, " "), (2, None), (3, "x")], "i int, t string").repartition(3)
+    got = {r["i"]: r["e"] for r in rows.select("i", embedding.model_embedder(model, dimension=3)(F.col("t")).alias("e")).collect()}
+    assert got[1] == got[2] == [0, 0, 0] and got[3] == pytest.approx([3**-0.5] * 3)
+    alone = rows.where("i = 1").select(embedding.model_embedder(model)(F.col("t")).alias("e")).first()["e"]
+    assert alone is None
+    with pytest.raises(Exception, match="wrong shape"):
+        rows.select(embedding.embedder("x:y", lambda spec: model, 4)(F.col("t"))).collect()
