@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import small_or_shuffled, table
+from lodestar.llm.common import small_or_shuffled, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path), as the contract of the query states them.
@@ -96,8 +96,16 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     Counts are pre-aggregated by host, so a host with a third of all pages is one row afterwards.
     """
     known = outcomes.where(F.col("good").isin(0, 1))
-    hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("g"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    return levels(_named(known.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("g"))))
+
+
+def _named(hosts: DataFrame) -> DataFrame:
+    return hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+
+
+def levels(hosts: DataFrame) -> DataFrame:
+    """`reputation` from a row for each host with its counts: host, domain, suffix, n, g."""
+    hosts = hosts.select("host", "domain", "suffix", "n", "g")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
     total = suffixes.agg(((F.sum("g") + 1.0) / (F.sum("n") + 2.0)).alias("mean"))
@@ -131,24 +139,27 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str,
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = outcomes.where("good is not null and page_id is not null").groupBy("page_id").agg(F.min("good").alias("good"))
-    seen = parsed.select("page_id", "host").join(labels, "page_id").select("host", "good")
-    known = reputation(seen)
+    # A row for each host, stored: all levels and all verdicts come from it, and pages are read once more for the result.
+    outcome = F.when(F.col("good").isin(0, 1), F.col("good"))
+    counts = parsed.select("page_id", "host").join(labels, "page_id", "left").groupBy("host").agg(F.count(outcome).alias("n"), F.sum(outcome).alias("g"))
+    hosts = stored(_named(counts), "url-hosts")
+    known = stored(levels(hosts.where("n > 0")), "url-known")
     by_host = known.select("host", upper_bound(F.col("n"), F.col("g"), F.col("domain_mean"), F.col("host_s")).alias("host_upper"))
     prior = lambda mean, s, name: upper_bound(F.lit(0.0), F.lit(0.0), F.max(mean), F.max(s)).alias(name)
     by_domain = known.groupBy("domain").agg(prior("domain_mean", "host_s", "domain_upper"))
     by_suffix = known.groupBy("suffix").agg(prior("suffix_mean", "domain_s", "suffix_upper"))
     whole = known.agg(prior("mean", "suffix_s", "whole_upper"))
     # Every host is judged once; the verdict of a host then goes back to its pages.
-    hosts = parsed.groupBy("host").agg(F.count("*").alias("pages")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     verdicts = (
-        hosts.join(by_host, "host", "left")
+        hosts.select("host", "domain", "suffix")
+        .join(by_host, "host", "left")
         .join(by_domain, "domain", "left")
         .join(small_or_shuffled(by_suffix), "suffix", "left")
         .crossJoin(F.broadcast(whole))
         .select("host", F.when(F.coalesce("host_upper", "domain_upper", "suffix_upper", "whole_upper", F.lit(1.0)) < MIN_GOOD, "block").otherwise("allow").alias("reputed"))
     )
     ruled = parsed.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
-    return ruled.join(verdicts, "host", "left").select(
+    return ruled.join(small_or_shuffled(verdicts), "host", "left").select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", "reputed", F.lit("allow")).alias("verdict")
     )
 
