@@ -2,10 +2,12 @@
 
 Each text is the first layer. A layer is scanned, then unwrapped: URL and Unicode escapes are
 decoded in place over the whole layer, with a map from its characters to the original text,
-until nothing decodes (bytes that are no UTF-8 stay escaped). URL-escaped compressed streams are read. Base64 runs of every such layer are decoded one by one, whole and in
-parts; decoded bytes that begin like a gzip, zlib, bzip2, xz or zstd stream are decompressed,
-all of its members, and what comes out is scanned and unwrapped in turn, be it text or not. A
-secret in a run has the run's span, so a run is read once and its result goes to every copy.
+until nothing decodes (bytes that are no UTF-8 stay escaped). URL-escaped compressed streams are read. Base64 runs of every such layer are decoded one by one, whole, in
+parts and from each place of a group of four, over line ends too, however wide the lines;
+gzip, zlib, bzip2, xz and zstd streams in decoded bytes, at their start or behind other bytes,
+are decompressed, all of their members, and what comes out is scanned and unwrapped in turn, be
+it text or not. A secret in a run has the span of the run (or part), so a run is read once and
+its result goes to every copy.
 Only content that was seen in the same run is not read again (cycles end).
 All spans are code points of the original text.
 """
@@ -21,6 +23,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -39,11 +42,17 @@ MIN_ASSIGN = 6
 ESCAPE = re.compile(
     r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|(?P<pu>%u[0-9A-Fa-f]{4})|(?P<u>\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})|(?P<ref>&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)"
 )
-BLOB = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}|(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
-WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]{1,76}={0,2}")
-MAYBE = re.compile(r"%u?[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
-#: How base64 of a compressed stream begins.
-STREAM = re.compile(r"H4sI|Qlpo|/Td6|KLUv|eJ[wz]|eAE|eNo|eF4")
+BLOB = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs over line ends (blanks may stand around them), and the lines in one.
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Characters of base64 that hold the shortest secret or stream.
+SHORTEST = 16
+MAYBE = re.compile(r"%u?[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]")
+#: One of these stands in all bytes that hold a secret or another layer.
+HOLDS = re.compile(
+    rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%u?[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]|\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]"
+)
 #: Bytes held of one decompressed layer, and by how much the windows over a longer one overlap.
 LAYER = 16 << 20
 OVERLAP = 1 << 20
@@ -108,7 +117,7 @@ class Unread(Exception):
 
 
 def _streams(data: bytes) -> Iterator[bytes]:
-    """Pieces of what the compressed streams at the start of `data` hold, one stream after the other, then what follows them; nothing if `data` is not compressed. A broken stream ends where it breaks."""
+    """Pieces of what the compressed streams at the start of `data` hold, one stream after the other, then what follows them; nothing if `data` is not compressed. A broken stream ends where it breaks; all bytes behind its first two follow, as they are."""
     first = True
     while data:
         if data[:2] == b"\x1f\x8b":
@@ -129,7 +138,7 @@ def _streams(data: bytes) -> Iterator[bytes]:
                 while piece := source.read(LAYER):
                     yield piece
             except zstandard.ZstdError:
-                pass
+                yield data[2:]
             return
         else:
             if not first:
@@ -145,6 +154,7 @@ def _streams(data: bytes) -> Iterator[bytes]:
                 elif not rest and getattr(reader, "needs_input", True):
                     break
         except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            yield data[2:]
             return
         data, first = reader.unused_data, False
 
@@ -193,12 +203,22 @@ def _unpacked(data: bytes, room: list[int]) -> Iterator[bytes | None]:
 
 
 def _runs(layer: str) -> Iterator[tuple[str, int, int]]:
-    """Base64 runs of a layer (run, start, end)."""
+    """Base64 runs of a layer (run, start, end): on one line, and lines of one width with the line before and the line after."""
     for m in BLOB.finditer(layer):
         yield m[0], m.start(), m.end()
-    if "\n" in layer:
-        for m in WRAPPED.finditer(layer):
-            yield m[0], m.start(), m.end()
+    for whole in LINES.finditer(layer) if "\n" in layer else ():
+        lines = [m.span() for m in LINE.finditer(layer, *whole.span())]
+        first = 0
+        while first < len(lines):
+            width, last = lines[first][1] - lines[first][0], first
+            while last + 1 < len(lines) and lines[last + 1][1] - lines[last + 1][0] == width:
+                last += 1
+            start, end = lines[max(0, first - 1)][0], lines[min(len(lines) - 1, last + 1)][1]
+            # A lone line at an end is in its neighbour's stretch already.
+            alone = first == last and len(lines) > 1 and (last == len(lines) - 1 or first == 0 and len(lines) > 2)
+            if end - start > SHORTEST and not alone:
+                yield layer[start:end], start, end
+            first = last + 1
 
 
 #: What may stand in URL-escaped bytes.
@@ -241,21 +261,17 @@ def _decoded(run: str) -> bytes:
 
 
 def _readings(run: str) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, bytes) of a run read whole, between its `/`, `_` and `-`, and from each later place of a group of four on."""
-    if "\n" in run:
-        yield 0, len(run), _decoded(re.sub(r"[\r\n]", "", run))
-        return
-    yield 0, len(run), _decoded(run)
-    cuts = [m.end() for m in re.finditer("[/_-]", run)]
-    if cuts:
-        for start, end in zip([0, *cuts], [*(c - 1 for c in cuts), len(run)], strict=True):
-            if end - start >= 16:
-                yield start, end, _decoded(run[start:end])
-        for start in cuts:
-            if STREAM.match(run, start):
-                yield start, len(run), _decoded(run[start:])
-        for start in (1, 2, 3):
-            yield start, len(run), _decoded(run[start:])
+    """(start, end, bytes) of a run read whole, between its `/`, `_` and `-`, and from each later place of a group of four on; bytes that can hold nothing are left out."""
+    plain = re.sub(r"\s", "", run) if "\n" in run else run
+    yield from ((0, len(run), data) for data in [_decoded(plain)] if plain is run or HOLDS.search(data))
+    cuts = [m.end() for m in re.finditer("[/_-]", run)] if plain is run else []
+    parts = [(a, b) for a, b in zip([0, *cuts], [*(c - 1 for c in cuts), len(run)], strict=True) if b - a >= SHORTEST] if cuts else []
+    for start, end in parts:
+        if HOLDS.search(data := _decoded(run[start:end])):
+            yield start, end, data
+    for start in (1, 2, 3):
+        if HOLDS.search(data := _decoded(plain[start:])):
+            yield (start if plain is run else 0), len(run), data
 
 
 def _kinds(data: bytes, room: list[int]) -> tuple[set[str], int, bool]:
@@ -281,6 +297,8 @@ def _kinds(data: bytes, room: list[int]) -> tuple[set[str], int, bool]:
                     work.append(plain[0].encode("utf-8", "surrogatepass"))
                 work += [data for run, _, _ in _runs(layer) for _, _, data in _readings(run)]
                 work += [data for data, _, _ in _escaped_streams(layer)]
+            # The first stream that can be read; what follows it comes out behind it.
+            work += islice((inner[m.start() :] for m in COMPRESSED.finditer(inner, 1) if _begins(inner[m.start() : m.start() + 256])), 1)
     return kinds, layers, whole
 
 

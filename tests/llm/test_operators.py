@@ -259,6 +259,66 @@ def test_secrets_deep_in_decoded_bytes_are_found(inner):
     assert 6 <= start < end <= 6 + len(run) and not cut
 
 
+def lined(run, width, end="\n"):
+    return end.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+SECRET = "password=hunter2222x"
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "x" + wrapped(SECRET),
+        "xy" + wrapped(SECRET),
+        "xyz" + wrapped(SECRET),
+        "xyzw" + packed(gzip.compress(SECRET.encode())),
+        "x" + packed(zlib.compress(SECRET.encode())),
+        packed(b"\x00\x01 head" + bz2.compress(SECRET.encode()) + b" tail"),
+        packed(gzip.compress(b"head " + lzma.compress(SECRET.encode()))),
+        "key-" + packed(gzip.compress(SECRET.encode() * 3)) + "/tail/of/path",
+        lined(wrapped("some words before the " + SECRET + " and some behind it"), 48),
+        lined(wrapped("padding of a few words, then " + SECRET), 48, "\r\n"),
+        lined(wrapped(SECRET), 8),
+        "xyz" + lined(wrapped("of a line end " + SECRET), 20, "\n    "),
+    ],
+)
+def test_secrets_at_any_place_of_a_run(spark, inner):
+    text = f"(words) {inner} (end) {lined('plain', 3)}"
+    _, spans, _, cut = secret_scan.scan(text)
+    at = text.index(inner)
+    assert any(k == "assign" and at <= s < e <= at + len(inner) for k, s, e in spans) and not cut
+
+
+def test_random_nesting_over_phases_and_widths():
+    rng = random.Random(31)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(300):
+        data = "".join(rng.choice("words and ") for _ in range(rng.randrange(30))) + " " + SECRET
+        for _ in range(rng.randrange(1, 4)):
+            kind = rng.randrange(4)
+            raw = data.encode()
+            if kind == 1:
+                raw = rng.choice((gzip.compress, zlib.compress, bz2.compress, lzma.compress))(raw)
+            elif kind == 2:
+                raw = bytes(rng.randrange(256) for _ in range(rng.randrange(9))) + b"\n" + zlib.compress(raw)
+            run = base64.b64encode(raw).decode()
+            if kind == 3:
+                run = quote(run, safe="")
+            elif rng.random() < 0.5:
+                run = lined(run, rng.randrange(5, 100), rng.choice(("\n", "\r\n")))
+            data = "".join(rng.choice(letters) for _ in range(rng.randrange(5))) + run
+        text = f"see: {data} ."
+        assert any(k == "assign" and 5 <= s < e <= 5 + len(data) for k, s, e in secret_scan.scan(text)[1]), text
+
+
+def test_words_on_lines_take_time_in_proportion():
+    for text in ("word\n" * 200_000, "abcdefghijklmnop\n" * 50_000, "Q" * 1_000_000, ("Q" * 70 + "\n") * 10_000 + "(", packed(b"x\x9c" * 100_000)):
+        began = time.time()
+        assert not secret_scan.scan(text)[1]
+        assert time.time() - began < 20
+
+
 def test_long_text_keeps_all_escape_layers():
     inner = quote(quote(quote(TOKEN, safe=""), safe=""), safe="")
     text = "word " * (12 << 18) + inner
