@@ -48,7 +48,9 @@ LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+
 LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 #: Characters of base64 that hold the shortest secret or stream.
 SHORTEST = 16
-MAYBE = re.compile(r"%u?[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]")
+MAYBE = re.compile(r"%u?[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}")
+#: A line end between characters of base64.
+BREAK = re.compile(r"\n[ \t]*[A-Za-z0-9+/_-]")
 #: One of these stands in all bytes that hold a secret or another layer.
 HOLDS = re.compile(
     rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%u?[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]|\x1f\x8b|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]"
@@ -74,6 +76,8 @@ def joined(spans) -> str:
 
 def _unescape(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
     """Decoded text and its pieces (new start, new end, old start, old end); a piece of equal length maps character by character. None if nothing decodes."""
+    if "%" not in text and "\\" not in text and "&#" not in text:
+        return None
     parts: list[str] = []
     pieces: list[tuple[int, int, int, int]] = []
     at = new = 0
@@ -112,6 +116,11 @@ def _unescape(text: str) -> tuple[str, list[tuple[int, int, int, int]]] | None:
     return "".join(parts), pieces
 
 
+def _maybe(layer: str) -> bool:
+    """False if a layer holds no other one for sure."""
+    return bool(("\n" in layer and BREAK.search(layer)) or MAYBE.search(layer))
+
+
 class Unread(Exception):
     """A stream that nothing here can read."""
 
@@ -292,7 +301,7 @@ def _kinds(data: bytes, room: list[int]) -> tuple[set[str], int, bool]:
             odd = sum(1 for c in layer[:4096] if c < " " and c not in "\t\n\r")
             layers += bool(layer) and odd * 10 <= min(len(layer), 4096)
             kinds.update(k for k, _, _ in base_spans(layer))
-            if MAYBE.search(layer):
+            if _maybe(layer):
                 if plain := _unescape(layer):
                     work.append(plain[0].encode("utf-8", "surrogatepass"))
                 work += [data for run, _, _ in _runs(layer) for _, _, data in _readings(run)]
@@ -323,7 +332,7 @@ def scan_parts(text: str | None) -> tuple[list[tuple[str, int, int]], set[tuple[
     text = text or ""
     base = base_spans(text)
     spans, unread = set(base), set()
-    if not MAYBE.search(text):
+    if not _maybe(text):
         return base, spans, 0, unread
     layer, where, layers = text, _Map(None, None), 0
     room = [max(MAX_DECODED, 64 * len(text))]
