@@ -13,6 +13,7 @@ more of them by the same steps as joins and aggregations.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm import hashing
-from lodestar.llm.common import batches, discard, small_or_shuffled, stored, table
+from lodestar.llm.common import batches, discard, fresh, small_or_shuffled, stored, table
 
 TOPICS = 8
 #: Groups of the hashed vocabulary (a power of two), and rounds of the k-means.
@@ -33,9 +34,8 @@ DRIVER_CELLS = 200_000
 TEMPERATURE = 0.5
 #: Share of all tokens to draw.
 KEEP = 0.5
-#: Of the raking on the driver, and of that by joins.
-ROUNDS, TOLERANCE = 500, 1e-10
-TABLE_ROUNDS, TABLE_TOLERANCE = 40, 1e-4
+#: Raking ends when no probability moves by this much in a round; it warns if that takes more rounds.
+ROUNDS, TOLERANCE = 500, 1e-8
 NONE = "(none)"
 SEED = 11
 DIMENSIONS = ("source", "lang", "topic")
@@ -102,12 +102,17 @@ def wanted(mass: dict[str, float], target: dict[str, float] | None) -> dict[str,
     return {k: v / sum(out.values()) for k, v in out.items()}
 
 
+def _unsettled(moved: float) -> None:
+    warnings.warn(f"raking did not settle in {ROUNDS} rounds; in the last, a probability moved by {moved:.2g}", RuntimeWarning, stacklevel=3)
+
+
 def rake(cells: dict[tuple, float], targets: list[dict], keep: float = KEEP) -> dict[tuple, float]:
     """Probability of each cell, such that the expected mass is `keep` of all and its shares are the targets.
 
     Iterative proportional fitting with no probability over 1: where targets ask for more of a
     category than there is, all of it is taken and the others keep their proportions as nearly as
     they can. Cells without mass get `keep`; a target of a category without mass is left out.
+    Warns (RuntimeWarning) if the probabilities still move after ROUNDS rounds.
     """
     keys = sorted(k for k, v in cells.items() if v > 0)
     if not keys:
@@ -117,7 +122,8 @@ def rake(cells: dict[tuple, float], targets: list[dict], keep: float = KEEP) ->
     margins = []
     for d, target in enumerate(targets):
         names = sorted({k[d] for k in keys})
-        index = np.array([names.index(k[d]) for k in keys])
+        place = {n: i for i, n in enumerate(names)}
+        index = np.array([place[k[d]] for k in keys])
         want = np.array([target.get(n, 0.0) for n in names])
         margins.append((index, keep * want / want.sum()))
     for _ in range(ROUNDS):
@@ -125,13 +131,15 @@ def rake(cells: dict[tuple, float], targets: list[dict], keep: float = KEEP) ->
         for index, want in margins:
             have = np.bincount(index, chance * mass, len(want))
             chance = np.minimum(1.0, chance * (want / np.maximum(have, 1e-300))[index])
-        if np.abs(chance - before).max() < TOLERANCE:
+        if (moved := np.abs(chance - before).max()) < TOLERANCE:
             break
+    else:
+        _unsettled(moved)
     return dict.fromkeys(cells, keep) | dict(zip(keys, chance.tolist(), strict=True))
 
 
 def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, keep: float = KEEP) -> DataFrame:
-    """`rake` for any number of `cells` (source, lang, topic, n): adds `chance`. Each step is an aggregation along a dimension and a join back, to TABLE_TOLERANCE."""
+    """`rake` for any number of `cells` (source, lang, topic, n): adds `chance`. Each step is an aggregation along a dimension and a join back; rounds, tolerance and warning are those of `rake`."""
     spark = cells.sparkSession
     live = cells.where("n > 0")
     total = live.agg(F.sum("n")).first()[0]
@@ -150,17 +158,23 @@ def rake_table(cells: DataFrame, targets: dict[str, dict[str, float]] | None, ke
         whole = own.agg(F.sum("want")).first()[0]
         margins[name] = stored(own.select(name, (F.col("want") * (keep / whole)).alias("want")), f"margin-{name}")
     now = stored(live.select(*DIMENSIONS, (F.col("n") / F.lit(float(total))).alias("mass"), F.lit(float(keep)).alias("chance")), "raked")
-    for _ in range(TABLE_ROUNDS):
+    for _ in range(ROUNDS):
         new = now.withColumn("was", F.col("chance"))
         for name in DIMENSIONS:
             factor = new.groupBy(name).agg(F.sum(F.col("chance") * F.col("mass")).alias("have")).join(margins[name], name)
             factor = factor.select(name, (F.col("want") / F.greatest("have", F.lit(1e-300))).alias("factor"))
-            new = stored(new.join(small_or_shuffled(factor), name).withColumn("chance", F.least(F.lit(1.0), F.col("chance") * F.col("factor"))).drop("factor"), "raked")
+            old, new = new, stored(new.join(small_or_shuffled(factor), name).withColumn("chance", F.least(F.lit(1.0), F.col("chance") * F.col("factor"))).drop("factor"), "raked")
+            if name != DIMENSIONS[0]:
+                discard(old)
         moved = new.agg(F.max(F.abs(F.col("chance") - F.col("was")))).first()[0]
         discard(now)
         now = new.drop("was")
-        if moved < TABLE_TOLERANCE:
+        if moved is None or moved < TOLERANCE:  # None: no cell has tokens
             break
+    else:
+        _unsettled(moved)
+    for name in DIMENSIONS:
+        discard(margins[name])
     return now.select(*DIMENSIONS, "chance")
 
 
@@ -173,7 +187,7 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
     `(none)`. Null and empty texts have no tokens and topic 0; they are drawn like their cell, with
     KEEP where it has no tokens. The draw depends on doc_id alone (on the text where it is null), so
     repeated rows are drawn together. Columns of `docs` with the names of the new ones are
-    replaced; the rest stays.
+    replaced; the rest stays, whatever its names.
     """
 
     def measure(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,10 +228,11 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
             yield pdf.assign(topic=topics_of(counts, share, centres).astype(np.int32), n_tokens=counts.sum(1))
 
     schema = T.StructType([*rest, T.StructField("topic", T.IntegerType()), T.StructField("n_tokens", T.LongType())])
-    chances = small_or_shuffled(chances.select(F.struct(*DIMENSIONS).alias("_cell"), F.col("chance").alias("_chance")))
-    measured = docs.select([f.name for f in rest]).mapInPandas(assign, schema)
-    drawn = measured.withColumn("_cell", F.struct(category("source").alias("source"), category("lang").alias("lang"), F.col("topic").cast("string").alias("topic"))).join(chances, "_cell", "left")
-    chance = F.coalesce("_chance", F.lit(KEEP))
+    cell, found = fresh(docs, "_cell", "_chance")
+    chances = small_or_shuffled(chances.select(F.struct(*DIMENSIONS).alias(cell), F.col("chance").alias(found)))
+    measured = docs.select([F.col(f"`{f.name}`") for f in rest]).mapInPandas(assign, schema)
+    drawn = measured.withColumn(cell, F.struct(category("source").alias("source"), category("lang").alias("lang"), F.col("topic").cast("string").alias("topic"))).join(chances, cell, "left")
+    chance = F.coalesce(found, F.lit(KEEP))
     draw = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(SEED))).otherwise(F.xxhash64("doc_id", F.lit(SEED))), F.lit(1 << 30)) / float(1 << 30)
     return drawn.select(*[F.col(f"`{f.name}`") for f in rest], "topic", "n_tokens", (chance / KEEP).alias("weight"), chance.alias("probability"), (draw < chance).alias("kept"))
 

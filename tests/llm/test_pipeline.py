@@ -47,7 +47,7 @@ def test_stages_against_brute_force(spark, folder, tmp_path):
     (before, after) = seen[2]
     clean = []
     for r in before:
-        n, hit, _ = brute_hits(r["text"][:20_000] if r["text"] and len(r["text"]) > 50_000 else r["text"], items)
+        n, hit, _ = brute_hits(r["text"], items)
         if r["doc_id"] is not None and not (hit > 0 and 20 * hit >= n):
             clean.append(r["doc_id"])
     assert ids(after) == sorted(clean)
@@ -81,3 +81,16 @@ def test_rows_without_id_are_judged_like_all_others(spark, folder):
     assert {(None, None), (None, ""), (8, None)} <= set(left)
     left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination(spark, docs, path).collect()]
     assert sorted(left, key=repr) == sorted([r for r in rows if r[1] not in (items[0][1], items[1][1])], key=repr)
+
+
+def test_columns_of_clashing_names_are_carried(spark, folder):
+    path, _ = folder
+    rng = random.Random(8)
+    names = ("score", "predicted", "_key", "_cell", "_chance", "carried3", "id", "component_id", "n.hit", "Text2")
+    rows = [(i, prose(rng, 50), "en", f"s{i % 3}", 1, *(f"{name} {i}" for name in names)) for i in range(40)]
+    docs = spark.createDataFrame(rows, [*COLUMNS, *names])
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        for r in out.collect():
+            assert all(r[name] == f"{name} {r['doc_id']}" for name in names)
