@@ -1,4 +1,8 @@
-"""A training-corpus pipeline of five stages; each is written as Parquet and read again as the next one's input."""
+"""A training-corpus pipeline of five stages; each is written as Parquet and read again as the next one's input.
+
+Columns besides those of `documents` are carried through every stage unchanged, whatever their names;
+only `topic`, `n_tokens`, `weight`, `probability` and `kept` are the last stage's own.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,14 @@ def _row_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """`docs` with every column that is not one of OWN under a plain name of its own, so that none meets a column of an operator."""
+    return docs.toDF(*(c if c in OWN else f"carried{i}" for i, c in enumerate(docs.columns)))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from their own labels that are not held out.
 
@@ -24,7 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality_mil.fit(docs, labels.where(~quality_mil.held_out()))
-    return quality_mil.score(docs, model).where("predicted = 1").select(docs.columns)
+    apart = _apart(docs)
+    return quality_mil.score(apart, model).where("predicted = 1").select(apart.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +46,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without doc_id take part like all others; of rows that agree in doc_id and text one stays.
     Null and empty texts and texts without words are linked with nothing and stay.
     """
-    keyed = docs.withColumn("_key", _row_key())
+    apart = _apart(docs)
+    keyed = apart.withColumn("_key", _row_key())
     ids = keyed.groupBy("_key").agg(F.first("doc_id").alias("id"))
     found = jaccard_join.components(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
     named = stored(found.join(ids, "_key"), "pipeline-components")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key")).alias("x")).select(F.col("x._key").alias("_key"))
     gone = named.select("_key").join(first, "_key", "left_anti")
-    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(docs.columns)
+    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(apart.columns).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark passages. Rows without doc_id are judged like all others; null and empty texts have no words and stay; repeated rows go or stay together."""
-    keyed = docs.withColumn("_key", _row_key())
+    apart = _apart(docs)
+    keyed = apart.withColumn("_key", _row_key())
     found = decontaminate.match(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = found.where(decontaminate.contaminated()).select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(docs.columns)
+    return keyed.join(bad, "_key", "left_anti").select(apart.columns).toDF(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
