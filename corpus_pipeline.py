@@ -67,12 +67,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in their texts redacted, and runs that were not read to the end. Null and empty texts and texts without secrets stay as they are; repeated rows are each redacted."""
-    return secret_scan.redact(docs)
+    return secret_scan.redact(_apart(docs)).toDF(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn to the raked weights, with topic, n_tokens, weight and probability. Null and empty texts are drawn like their cell; rows with one doc_id together."""
-    return mixing.weigh(docs).where("kept").drop("kept")
+    docs = docs.drop("topic", "n_tokens", "weight", "probability", "kept")
+    return mixing.weigh(_apart(docs)).where("kept").drop("kept").toDF(*docs.columns, "topic", "n_tokens", "weight", "probability")
 
 
 STAGES = [
