@@ -17,6 +17,7 @@ import zlib
 from urllib.parse import quote
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodestar.llm import decontaminate, embed_dedup, html_extract, jaccard_join, language_id, mixing, quality_mil, secret_scan, substring_dedup, url_filter
@@ -848,6 +849,46 @@ def test_passages_of_popular_fragments_meet_their_own_partners(spark):
         assert got == {(1, 300, 400, 2), (2, 60, 160, 1)}
 
 
+def test_fuzzy_passages_of_popular_keys_meet(spark):
+    """Every key of a passage stands in other texts too, before and after its two holders by hash: in a few, or in many."""
+    rng = random.Random(5)
+    u = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [u(72) for _ in range(12)]
+    rows = []
+    for k, a in enumerate(passages):
+        b = [f"v{k}x{i}" if i % 8 == 7 else w for i, w in enumerate(a)]
+        rows += [(2 * k, " ".join(u(40) + a + u(40))), (2 * k + 1, " ".join(u(40) + b + u(40)))]
+    for i in range(9 * 45):
+        parts = [a[8 * (i % 9) : 8 * (i % 9) + 7] + u(25) for k, a in enumerate(passages) if k % 2 or i < 9 * 8]
+        rng.shuffle(parts)
+        rows.append((1000 + i, " ".join(u(25) + sum(parts, []))))
+    found = {(r["doc_id"], r["other_doc"]) for r in substring_dedup.repeated_passages(docs_of(spark, rows)).collect()}
+    assert found == {pair for k in range(12) for pair in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k))}
+
+
+def test_links_of_later_rounds():
+    bits = substring_dedup.BLOCK_BITS
+    group = np.array([1, 1, 1, 2, 2], np.uint64)
+    holders = np.array([5, 6, 7, 5, 8], np.int64) << bits
+    flags = np.array([0, 1, 0, 0, 0], np.uint8)
+    told = lambda only: sorted((int(a) >> bits, int(b) >> bits, bool(o)) for part in substring_dedup.all_links(group, holders, flags, only) for a, b, o, _ in zip(*part, strict=True))
+    assert told(False) == [(5, 6, True), (5, 7, False), (5, 8, False), (6, 7, True)]
+    assert told(True) == [(5, 6, True), (6, 7, True)]
+    spans = (np.array([3, 3, 4]), np.array([10, 0, 0]), np.array([20, 50, 5]))
+    assert substring_dedup.covered(np.array([3, 3, 4, 4, 9]), np.array([15, 46, 0, 2, 0]), np.array([40, 51, 5, 7, 1]), spans).tolist() == [True, False, True, False, False]
+
+
+def test_sieve_leaves_every_pair_with_a_passage():
+    rng = np.random.default_rng(8)
+    blocks = [rng.integers(0, 2**32, n, np.uint64).astype(np.uint32) for n in (200, 120, 300)]
+    blocks[1][30:85] = blocks[0][100:155]
+    blocks[1][33:85:6] += np.uint32(1)
+    frame = pd.DataFrame({"holder": [7, 3, 9], "words": [b.tobytes() for b in blocks]})
+    kept = substring_dedup.dense_pairs(pd.DataFrame({"a": [3, 3, 7], "b": [7, 9, 9]}), frame)
+    assert list(zip(kept["a"], kept["b"], strict=True)) == [(3, 7)]
+    assert substring_dedup.passages_of(blocks[1].astype(np.uint64), blocks[0].astype(np.uint64))
+
+
 def test_exact_repeats_match_brute_force(spark):
     rng = random.Random(21)
     words = [f"w{i}" for i in range(3000)]
