@@ -889,6 +889,37 @@ def test_sieve_leaves_every_pair_with_a_passage():
     assert substring_dedup.passages_of(blocks[1].astype(np.uint64), blocks[0].astype(np.uint64))
 
 
+def test_groups_cover_every_open_place():
+    """Blocks of a group, whole and in two parts: whatever passage covers an open place, one that does is told, and covered blocks meet no more."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: rng.integers(0, 2**32, n, np.uint64).astype(np.uint32)
+    line, other, bits = fresh(14), fresh(70), substring_dedup.BLOCK_BITS
+    shared, blocks, partner = [fresh(40) for _ in range(10)], [], {}
+    for k in range(60):  # all hold the line twice and another passage; around the first line, 20 have a partner
+        around = np.concatenate([shared[k // 2][:20], line, shared[k // 2][20:]]) if k < 20 else np.concatenate([fresh(20), line, fresh(20)])
+        blocks.append(np.concatenate([fresh(30), around, fresh(40), line, fresh(50), other, fresh(30)]))
+        partner[k] = k ^ 1 if k < 20 else None
+    width = substring_dedup.END_BITS
+    spot = np.array([1 | 50 << 1 | 64 << (1 + width), 1 | 124 + 20 << 1 | 138 + 20 << (1 + width)], np.int32).tobytes()
+    pdf = pd.DataFrame({"holder": [(k + 1) << bits for k in range(60)], "fp": [(k + 1) << bits for k in range(60)], "block": 0, "words": [b.tobytes() for b in blocks], "places": spot})
+    for side in (np.zeros(60, int), np.arange(60) % 2):
+        got = substring_dedup.group_passages(pdf.assign(side=side))
+        told = {(r.fp >> bits, r.ref >> bits) for r in got.itertuples() if r.start <= 50 and r.end >= 64 and r.rstart <= 50 and r.rend >= 64}
+        assert told == {(k + 1, k + 2) for k in range(0, 20, 2)}
+        assert len(got) <= 2 * 20  # the passage that all hold stands around no open place: its 1,770 pairs are not told
+
+
+def test_equal_groups_are_one_and_list_no_pairs():
+    bits = 2
+    holders = np.arange(1, 41, dtype=np.int64) << substring_dedup.BLOCK_BITS
+    parts = np.full(40, 1 | 7 << 1 | 12 << (1 + substring_dedup.END_BITS), np.int64)
+    rows = pd.DataFrame({"kind": "twos", "range": 0, "x": [np.full(40, k, np.uint64).tobytes() for k in (5, 6, 7)], "y": holders.tobytes(), "z": parts.tobytes()})
+    found = pd.concat(substring_dedup._two_linked(bits)(iter([rows])))
+    assert set(found["kind"]) == {"groups"}
+    tasks = pd.concat(substring_dedup._group_parts(iter([found.sort_values("range")])))
+    assert tasks["holder"].tolist() == holders.tolist() and tasks["task"].nunique() == 1
+
+
 def test_exact_repeats_match_brute_force(spark):
     rng = random.Random(21)
     words = [f"w{i}" for i in range(3000)]
