@@ -709,14 +709,16 @@ CONSISTENT_SQL = GROUNDED_SQL.replace("SELECT query_id, place::BIGINT", ", ci AS
 SELECT query_id, bool_and(substr(text, (start_char - 999 + CASE WHEN moved THEN 1 ELSE 0 END)::BIGINT, length(quote)) = quote) AS consistent FROM ci GROUP BY 1"""
 
 
-def _kinds(spark, d):
+def _kinds(qrels):
     """Items with a relevant document: even ids are answerable, the others get what is not relevant."""
-    return _qrels(spark, d).select("query_id").distinct().select("query_id", F.when(F.col("query_id") % 2 == 0, "answerable").otherwise("no_relevant").alias("kind"))
+    return qrels.select("query_id").distinct().select("query_id", F.when(F.col("query_id") % 2 == 0, "answerable").otherwise("no_relevant").alias("kind"))
 
 
 def answer_items(spark, d):
-    hits = _hits(spark, d).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
-    items = answer_eval.answer_items(_asked(spark, d), hits, evaluate.relevant(_qrels(spark, d)), _kinds(spark, d), 3)
+    """Up to three contexts of each item; fewer where the relevant documents leave fewer of its POOL hits, as those of many copies do."""
+    hits = stored(_hits(spark, d).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank"), "hits")
+    qrels = stored(_qrels(spark, d), "qrels")
+    items = answer_eval.answer_items(_asked(spark, d), hits, evaluate.relevant(qrels), _kinds(qrels), 3, exact=False)
     return items.select("query_id", "kind", "context", "doc_id", "rank", X.content_hash(F.col("question")).alias("question_hash"))
 
 

@@ -21,13 +21,14 @@ def _or_error(good: Column, value: Column, message: Column) -> Column:
     return F.when(good, value).otherwise(F.raise_error(message))
 
 
-def answer_items(claims: DataFrame, hits: DataFrame, gold: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
+def answer_items(claims: DataFrame, hits: DataFrame, gold: DataFrame, kinds: DataFrame, k: int, exact: bool = True) -> DataFrame:
     """(query_id, kind, question, context, doc_id, rank, ...): exactly k contexts for each query of `kinds`.
 
     `claims` (query_id, text), `hits` (query_id, doc_id, rank, ...), `gold` (query_id, doc_id),
     `kinds` (query_id, kind: `answerable` or `no_relevant`). An answerable query gets its first k
     hits, the other kind the first k that are not relevant. ValueError for a query of both
-    kinds; the job fails for one with fewer than k contexts left.
+    kinds; the job fails for one with fewer than k contexts left. Without `exact` such a query
+    keeps the contexts that are left, and has no row if there are none.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -40,9 +41,12 @@ def answer_items(claims: DataFrame, hits: DataFrame, gold: DataFrame, kinds: Dat
     first = own.where("kind = 'answerable'").withColumn("new", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("new") <= k)
     first = first.withColumn("rank", F.col("new").cast("long")).withColumn("context", F.col("new").cast("long") - 1).drop("new")
     rest = drop_gold(own.where("kind = 'no_relevant'"), gold.select("query_id", "doc_id").distinct(), k)
+    asking = claims.select("query_id", question(F.col("text")).alias("question"))
+    if not exact:
+        return first.unionByName(rest).join(asking, "query_id")
     counted = asked.select("query_id").join(first.unionByName(rest), "query_id", "left").withColumn("held", F.count("context").over(Window.partitionBy("query_id")))
     whole = _or_error(F.col("held") == k, F.col("kind"), F.concat(F.lit("too few contexts: "), F.col("query_id").cast("string")))
-    return counted.withColumn("kind", whole).drop("held").join(claims.select("query_id", question(F.col("text")).alias("question")), "query_id")
+    return counted.withColumn("kind", whole).drop("held").join(asking, "query_id")
 
 
 def replayed(requests: DataFrame, cache: DataFrame, replay_only: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
 from lodestar.functions.markup import pieces
+from lodestar.jobs.queries import QUERIES
 from lodestar.operators import answer, answer_eval, chunking, search
 from lodestar.sources import evaluation
 
@@ -96,6 +97,24 @@ def test_items_have_exactly_k_contexts(spark):
         answer_eval.answer_items(claims, hits_of(spark), gold, kinds.union(spark.createDataFrame([("a", "no_relevant")], "query_id string, kind string")), 3).collect()
 
 
+def test_items_without_enough_contexts_keep_those_left(spark, tmp_path):
+    """The query over items whose relevant documents fill the pool of hits but for two, or wholly, as copies do in larger tables."""
+    claims = spark.createDataFrame([("a", "claim A"), ("b", "claim B"), ("c", "claim C")], "query_id string, text string")
+    gold = spark.createDataFrame([("b", "b0"), ("b", "b2"), ("c", "c0")], "query_id string, doc_id string")
+    kinds = spark.createDataFrame([("a", "answerable"), ("b", "no_relevant"), ("c", "no_relevant")], "query_id string, kind string")
+    got = answer_eval.answer_items(claims, hits_of(spark), gold, kinds, 5, exact=False).orderBy("query_id", "context").collect()
+    assert [(r["query_id"], r["kind"], r["context"], r["doc_id"], r["rank"]) for r in got] == [*[("a", "answerable", i, f"a{i}", i + 1) for i in range(4)], ("b", "no_relevant", 0, "b1", 1), ("b", "no_relevant", 1, "b3", 2)]
+    asked = {1: "one two three four five six seven eight", 2: "ten eleven twelve thirteen fourteen fifteen sixteen seventeen", 3: "red green blue white black brown yellow grey", 5: "oak ash elm birch pine beech cedar larch"}
+    docs = [(q * 1000 + i, text, "en") for q, text in asked.items() for i in range({1: 48, 2: 5, 3: 60, 5: 47}[q])]
+    docs += [(q * 1000 + 900 + i, f"{text.split()[0]} and nothing else of these words", "en") for q, text in asked.items() for i in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1000, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = QUERIES["answer_items"][0](spark, str(tmp_path)).orderBy("query_id", "context").collect()
+    assert [(r["query_id"], r["kind"], r["context"], r["doc_id"], r["rank"]) for r in rows] == [
+        (1, "no_relevant", 0, 1900, 1), (1, "no_relevant", 1, 1901, 2), *[(2, "answerable", i, 2000 + i, i + 1) for i in range(3)], *[(5, "no_relevant", i, 5900 + i, i + 1) for i in range(3)]]
+
+
 def test_caches_replay_and_grow(spark, tmp_path):
     cache = spark.createDataFrame([("k1", "m", "one"), ("k1", "m", "one"), ("k2", "m", "two")], "key string, model string, content string")
     asked = spark.createDataFrame([("q1", "k1"), ("q3", "k3")], "query_id string, key string")
