@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import bm25_tokens
 from lodestar.operators.search import B, BROADCAST_TERMS, DIGITS, K1, query_terms, top_k
+from lodestar.operators.tables import CODEC
 
 BLOCK, BUCKETS = 1024, 64
 #: Blocks that are bounded in one group; blocks that each query has scored first; an index of fewer blocks is scored whole.
@@ -85,7 +86,7 @@ def build(chunks: DataFrame, text: str = "embedding_text", tokenizer: Tokenizer
 def write(postings: DataFrame, path: str) -> None:
     """In a folder for each bucket, sorted by term; a bucket's rows are dealt by block too, so that a hot term is many tasks' work."""
     dealt = postings.repartition("bucket", F.expr("block div 256")).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.partitionBy("bucket").parquet(path)
+    dealt.write.options(**CODEC).partitionBy("bucket").parquet(path)
 
 
 class Postings:

@@ -2,7 +2,7 @@
 
     manifest.json              the current version
     versions/N.json            all versions, N with leading zeros
-    chunks/segment=S           chunks with `ord`, their number in the segment
+    chunks/segment=S           chunks with `ord`, their number in the segment; `embedding_text` only where it is not `text`
     documents/segment=S
     postings/segment=S/bucket=B (none for a segment without chunks; the manifest lists those that have some as `indexed`)
     gone/deletion=D            (segment, ord, chunk_id, doc_id, length, tokens) of deleted chunks
@@ -13,6 +13,9 @@ A change writes new folders only and then swaps manifest.json, so a reader sees
 or the one after, and a change that broke off leaves nothing but folders that no manifest names.
 One writer at a time: a writer whose version is no longer the current one is refused. Old versions
 can be read until `compact` is followed by `vacuum`.
+
+Texts are what takes the disk. They are written compressed (CODEC) and do not travel to meet the keys of what
+was deleted, as long as those can be broadcast; to be verified, documents travel a part (PARTS) at a time.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from lodestar.functions.text import bm25_tokens
 from lodestar.operators import postings as P
 from lodestar.operators.chunking import verify
 from lodestar.operators.index import IndexFault, repeated_ids
-from lodestar.operators.search import K1, B, valid_vector
-from lodestar.operators.tables import exists, read_json, remove, write_json
+from lodestar.operators.search import K1, B, bounded, valid_vector
+from lodestar.operators.tables import CODEC, exists, read_json, released, remove, write_json
 
-FORMAT = 2
+FORMAT = 3
+#: Keys of deleted chunks or documents that are broadcast, and the parts in which documents meet their chunks.
+KEYS, PARTS = 1_000_000, 4
 # A fixed text whose tokens tell tokenizers apart: compatibility forms, case folding, joiners, scripts, digits.
 PROBE = "Lodestar's ½ naïve Straße ﬁle_1 don't 日本語 ΟΔΟΣ x² İstanbul e-mail 3.14"
 _WORD = 1 << 32
@@ -54,6 +59,28 @@ def tokenizer_digest(spark: SparkSession, tokenizer: P.Tokenizer) -> str:
     return hashlib.sha256("\n".join(tokens).encode()).hexdigest()
 
 
+def _slim(chunks: DataFrame) -> DataFrame:
+    """Chunks as they are written: `embedding_text` as a struct, null where it is the text."""
+    return chunks.withColumn("embedding_text", F.when(~F.col("embedding_text").eqNullSafe(F.col("text")), F.struct(F.col("embedding_text").alias("value"))))
+
+
+def _full(chunks: DataFrame) -> DataFrame:
+    """Chunks that were written as `_slim` has them."""
+    return chunks.withColumn("embedding_text", F.when(F.col("embedding_text").isNull(), F.col("text")).otherwise(F.col("embedding_text.value")))
+
+
+def disagreeing(chunks: DataFrame, docs: DataFrame, most: int) -> list:
+    """Up to `most` of the rows of `verify`. Documents travel PARTS times a part of them, so that they are never all in shuffle files."""
+    found: list = []
+    for part in range(PARTS):
+        own = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(PARTS)) == part
+        found += verify(chunks.where(own), docs.where(own)).limit(most - len(found)).collect()
+        released(chunks.sparkSession)
+        if len(found) >= most:
+            break
+    return found
+
+
 class Store:
     """A version of an index. Changes return the store of the next version."""
 
@@ -83,17 +110,17 @@ class Store:
     def _gone(self, kind: str = "gone") -> DataFrame | None:
         return self._read(kind, "deletion", self.manifest["deletions"])
 
+    def _left(self, held: DataFrame, kind: str, keys: list[str]) -> DataFrame:
+        """`held` without what was deleted since."""
+        gone = self._gone(kind)
+        return held if gone is None else held.join(bounded(gone.select(keys), KEYS), keys, "left_anti")
+
     def chunks(self) -> DataFrame:
         """Live chunks with segment and ord; their order is that of (segment, ord)."""
-        held = self._read("chunks", "segment", self.manifest["segments"])
-        gone = self._gone()
-        return held if gone is None else held.join(gone.select("segment", "ord"), ["segment", "ord"], "left_anti")
+        return self._left(_full(self._read("chunks", "segment", self.manifest["segments"])), "gone", ["segment", "ord"])
 
     def documents(self) -> DataFrame:
-        held = self._read("documents", "segment", self.manifest["segments"])
-        gone = self._gone("gone_documents")
-        held = held if gone is None else held.join(gone.select("segment", "doc_id"), ["segment", "doc_id"], "left_anti")
-        return held.drop("segment")
+        return self._left(self._read("documents", "segment", self.manifest["segments"]), "gone_documents", ["segment", "doc_id"]).drop("segment")
 
     def postings(self) -> P.Postings:
         rows = self._read("postings", "segment", self.manifest["indexed"])
@@ -124,7 +151,7 @@ class Store:
             raise IndexFault("the lexical index has another total length than the manifest says")
         if chunks.where(~valid_vector(F.col("embedding"), m["dimension"])).limit(1).count():
             raise IndexFault("vectors of another dimension, or not finite")
-        if verify(chunks, docs).limit(1).count():
+        if disagreeing(chunks, docs, 1):
             raise IndexFault("chunks do not agree with their documents")
 
     def drift(self, tokenizer: P.Tokenizer | None = None) -> tuple[int, int]:
@@ -152,6 +179,7 @@ class Store:
         old = self.chunks()
         stale = old.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("segment", "ord")
         stale = stale.unionByName(old.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").select("segment", "ord")).distinct()
+        stale = bounded(stale, KEYS)
         return self._changed(old.join(stale, ["segment", "ord"], "left_semi"), docs.select("doc_id").distinct(), chunks, docs, self.manifest["version"])
 
     def delete(self, doc_ids: DataFrame) -> tuple[Store, int]:
@@ -161,7 +189,7 @@ class Store:
         known = self.documents().join(own, "doc_id", "left_semi")
         if not known.limit(1).count():
             return self, 0
-        after = self._changed(self.chunks().join(own, "doc_id", "left_semi"), own, None, None, self.manifest["version"])
+        after = self._changed(self.chunks().join(bounded(own, KEYS), "doc_id", "left_semi"), own, None, None, self.manifest["version"])
         return after, self.manifest["chunks"] - after.manifest["chunks"]
 
     def compact(self) -> Store:
@@ -197,6 +225,7 @@ class Store:
         self._require_current(base)
         write_json(self.spark, f"{self.path}/versions/{manifest['version']:08d}.json", manifest)
         write_json(self.spark, f"{self.path}/manifest.json", manifest)
+        released(self.spark)
         return Store(self.spark, self.path, manifest, self.tokenizer)
 
     def _require_current(self, base: int | None) -> None:
@@ -212,7 +241,7 @@ class Store:
             raise IndexFault("a chunk_id is there twice")
         if chunks.where(~valid_vector(F.col("embedding"), self.manifest["dimension"])).limit(1).count():
             raise IndexFault("vectors of another dimension, or not finite")
-        wrong = verify(chunks, docs).limit(3).collect()
+        wrong = disagreeing(chunks, docs, 3)
         if wrong:
             raise IndexFault(f"chunks do not agree with their documents: {wrong}")
         if self.manifest["segments"]:
@@ -224,10 +253,10 @@ class Store:
     def _deleted(self, manifest: dict, name: str, stale: DataFrame, stale_docs: DataFrame) -> dict:
         tokens = F.coalesce(self.tokenizer(F.col("embedding_text")), F.array().cast("array<string>"))
         where = f"{self.path}/gone/deletion={name}"
-        stale.select("segment", "ord", "chunk_id", "doc_id", tokens.alias("tokens")).withColumn("length", F.size("tokens").cast("long")).write.parquet(where)
+        stale.select("segment", "ord", "chunk_id", "doc_id", tokens.alias("tokens")).withColumn("length", F.size("tokens").cast("long")).write.options(**CODEC).parquet(where)
         gone = self.spark.read.parquet(where)
         terms = gone.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-        terms.select(P.bucket(F.col("term")).alias("bucket"), "term", "n").write.parquet(f"{self.path}/gone_terms/deletion={name}")
+        terms.select(P.bucket(F.col("term")).alias("bucket"), "term", "n").write.options(**CODEC).parquet(f"{self.path}/gone_terms/deletion={name}")
         held = reduce(DataFrame.unionByName, [self._read("documents", "segment", [s]).select("segment", "doc_id") for s in manifest["segments"]])
         before = self._gone("gone_documents")
         held = held if before is None else held.join(before.select("segment", "doc_id"), ["segment", "doc_id"], "left_anti")
@@ -240,10 +269,11 @@ class Store:
 
     def _added(self, manifest: dict, name: str, chunks: DataFrame, docs: DataFrame) -> dict:
         where = f"{self.path}/chunks/segment={name}"
-        chunks.withColumn("ord", F.monotonically_increasing_id()).write.parquet(where)
-        docs.write.parquet(f"{self.path}/documents/segment={name}")
-        added = self.spark.read.parquet(where)
+        _slim(chunks).withColumn("ord", F.monotonically_increasing_id()).write.options(**CODEC).parquet(where)
+        added = _full(self.spark.read.parquet(where))
         P.write(P.build(added, tokenizer=self.tokenizer), f"{self.path}/postings/segment={name}")
+        released(self.spark)  # before more is written
+        docs.write.options(**CODEC).parquet(f"{self.path}/documents/segment={name}")
         digest = _plus([manifest["chunks"], *manifest["digest"]], id_digest(added))
         out = manifest | {"chunks": digest[0], "digest": digest[1:], "segments": [*manifest["segments"], name], "documents": manifest["documents"] + self.spark.read.parquet(f"{self.path}/documents/segment={name}").count()}
         if digest[0] == manifest["chunks"]:  # no chunks, so no postings to read

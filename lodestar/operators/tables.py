@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: How the files of an index are written.
+CODEC = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 #: Where tables go in a local session that names no shared folder, by application.
 _LOCAL: dict[str, str] = {}
 
@@ -35,6 +38,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of plans that are done, so that Spark deletes their shuffle files, which else stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 

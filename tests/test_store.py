@@ -120,6 +120,33 @@ def test_versions(spark, tmp_path):
         third.upsert(new, new_docs)
 
 
+def test_texts_stand_on_disk_once_and_do_not_travel(spark, tmp_path):
+    """Equal embedding texts are not written a second time, deleted keys come to the texts, a fault in any part of the documents is told."""
+    path, rng = str(tmp_path / "index"), random.Random(8)
+    rows = [(f"d{i}", f"c{i}", " ".join(f"{rng.getrandbits(60):x}" for _ in range(400))) for i in range(60)]
+    docs = spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id string, text string").repartition(1)
+    chunks = spark.createDataFrame(rows, "doc_id string, chunk_id string, text string").repartition(1).withColumns({
+        "content_hash": X.content_hash(F.col("text")), "start_char": F.lit(0).cast("long"), "end_char": F.length("text").cast("long"), "embedding": F.array(F.lit(1.0), F.lit(0.5)),
+        "embedding_text": F.when(F.col("chunk_id") == "c1", F.lit(None)).when(F.col("chunk_id") == "c2", "a title").otherwise(F.col("text"))})
+    first = store.Store.create(spark, path, chunks, docs, "none", 2)
+    first.check()
+    on_disk = lambda kind: sum(f.stat().st_size for f in (tmp_path / "index" / kind).rglob("*.parquet"))
+    assert on_disk("chunks") < 1.2 * on_disk("documents")
+    assert {".zstd." in f.name for f in (tmp_path / "index").rglob("*.parquet")} == {True}
+    want = {c: None if c == "c1" else "a title" if c == "c2" else t for _, c, t in rows}
+    assert {r["chunk_id"]: r["embedding_text"] for r in first.chunks().collect()} == want
+    second, removed = first.delete(docs.where("doc_id in ('d2', 'd7')").select("doc_id"))
+    assert removed == 2 and {r["chunk_id"] for r in second.chunks().collect()} == set(want) - {"c2", "c7"}
+    for read in (second.chunks(), second.documents()):
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert {r["chunk_id"]: r["embedding_text"] for r in second.compact().chunks().collect()} == {c: t for c, t in want.items() if c not in ("c2", "c7")}
+    for i in range(0, 60, 7):
+        told = store.disagreeing(chunks.withColumn("text", F.when(F.col("chunk_id") == f"c{i}", F.reverse("text")).otherwise(F.col("text"))), docs, 3)
+        assert [(r["chunk_id"], r["reason"]) for r in told] == [(f"c{i}", "text differs")]
+    assert store.disagreeing(chunks.withColumn("doc_id", F.when(F.col("chunk_id") == "c5", F.lit(None)).otherwise(F.col("doc_id"))), docs, 3)[0]["reason"] == "unknown document"
+
+
 @pytest.mark.parametrize("step", ["verify", "build", "id_digest", "write_json"])
 def test_a_crash_leaves_the_old_version(spark, tmp_path, monkeypatch, step):
     path = str(tmp_path / "index")
