@@ -849,6 +849,32 @@ def test_passages_of_popular_fragments_meet_their_own_partners(spark):
         assert got == {(1, 300, 400, 2), (2, 60, 160, 1)}
 
 
+def test_pairs_meet_in_portions(spark, monkeypatch):
+    """Pairs go through the shuffle a portion at a time, each once, with the same passages; tables of words and links are written compressed."""
+    rng = random.Random(17)
+    words = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    parts = [words(70) for _ in range(12)]
+    rows = [(i, " ".join(words(80) + parts[i % 12] + words(300) + parts[(i * 5 + 1) % 12] + words(80))) for i in range(48)]
+    plain = lambda: sorted(tuple(r) for r in substring_dedup.repeated_passages(docs_of(spark, rows)).collect())
+    whole = plain()
+    told, stored = [], substring_dedup.stored
+
+    def watched(df, label, **options):
+        out = stored(df, label, **options)
+        told.append((label, out.count(), {".zstd." in f for f in out.inputFiles()}))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stored", watched)
+    monkeypatch.setattr(substring_dedup, "PORTION", 20)
+    monkeypatch.setattr(substring_dedup, "PORTIONS", 5)
+    assert plain() == whole and len({r[0] for r in whole}) == 48
+    pairs = [n for label, n, _ in told if label in ("linked-blocks", "open-blocks")]
+    assert pairs[0] > 100 and sum(label == "compared" for label, _, _ in told) == sum(max(1, min(5, -(-n // 20))) for n in pairs)
+    compared = [n for label, n, _ in told if label == "compared"][:5]
+    assert max(compared) < 0.5 * sum(compared)
+    assert all(zstd == {True} for label, n, zstd in told if label in ("links", "all-links", "blocks") and n)
+
+
 def test_fuzzy_passages_of_popular_keys_meet(spark):
     """Every key of a passage stands in other texts too, before and after its two holders by hash: in a few, or in many."""
     rng = random.Random(5)
